@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, urls
-from .common import table
+from . import minhash, mixing, toxicity, urls
+from .common import crc_of_id, table
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +18,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_source_mixing": op1_source_mixing, "op3_url_filter": op3_url_filter}
-ORACLES = {"op1_source_mixing": mixing.ORACLE, "op3_url_filter": urls.ORACLE}
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+def op10_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.scores(docs, model)
+    held = F.pmod(crc_of_id(), F.lit(5)) == 0
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op3_url_filter": op3_url_filter,
+    "op7_minhash_dedup": op7_minhash_dedup,
+    "op10_toxicity_kernel": op10_toxicity_kernel,
+}
+ORACLES = {"op1_source_mixing": mixing.ORACLE, "op3_url_filter": urls.ORACLE, "op7_minhash_dedup": minhash.ORACLE}
