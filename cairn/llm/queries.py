@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lm, minhash, mixing, personal_data, token_counts, token_files, toxicity, urls
+from . import decontaminate, fingerprints, lm, minhash, mixing, personal_data, token_counts, token_files, toxicity, urls
 from .common import crc_of_id, table
 
 
@@ -19,6 +19,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decisions(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks: doc_id, item_id, cosine, lcs_share, answer_found."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -56,8 +61,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return token_files.encode_and_read(table(spark, sf_dir, "documents"), path or tokenizer("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op4_token_counts": op4_token_counts,
     "op5_fingerprints": op5_fingerprints,
@@ -66,5 +78,6 @@ QUERIES = {
     "op8_ppm_scores": op8_ppm_scores,
     "op9_token_files": op9_token_files,
     "op10_toxicity_kernel": op10_toxicity_kernel,
+    "pipeline": pipeline,
 }
 ORACLES = {"op1_source_mixing": mixing.ORACLE, "op3_url_filter": urls.ORACLE, "op7_minhash_dedup": minhash.ORACLE}

@@ -316,22 +316,25 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, keep) -> tuple[li
     return [t for _, t in got], [by_id[d] for d, _ in got]
 
 
+def _score_batch(texts: list[str | None], model: Model) -> np.ndarray:
+    """In a worker: what it knows of words is kept as long as the model is the same."""
+    key = (tuple(model.landmarks), model.bias, model.slope)
+    if _memory.get("key") != key:
+        _memory.clear()
+        _memory["key"] = key
+    return score_texts(texts, model, _memory)
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tuple(model.landmarks), model.bias, model.slope)
-        if _memory.get("key") != key:
-            _memory.clear()
-            _memory["key"] = key
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                s = score_texts(part.column(1).to_pylist(), model, _memory)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(2, part.num_columns)), pa.array(s, pa.float64())], [*part.schema.names[2:], "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_score_batch(part.column(1).to_pylist(), model), pa.float64())], ["doc_id", "score"])
 
-    own = docs.select("doc_id", "text", F.col("doc_id").alias("id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", "doc_id")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def in_training(column: str):
@@ -344,12 +347,11 @@ def trained(docs: DataFrame, labels: DataFrame, per_class: int = 800, keep=in_tr
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose score is at least the threshold, row by row: no join, no shuffle."""
-    names = docs.columns
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                s = score_texts(part.column(names.index("text")).to_pylist(), model, _memory if _memory.get("key") == id(model) else _memory.clear() or _memory.update(key=id(model)) or _memory)
-                yield part.filter(pa.array(s < threshold))
+                yield part.filter(pa.array(_score_batch(part.column(at).to_pylist(), model) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
