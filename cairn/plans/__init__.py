@@ -1 +1,4 @@
-"""plans of the engine."""
+"""Registered queries: QUERIES by name, and their SQL in ORACLES."""
+
+from . import relational_queries, scalar_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
