@@ -4,21 +4,38 @@ from __future__ import annotations
 
 import gzip
 import lzma
+from collections.abc import Callable
 
 import pandas as pd
 import zstandard
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+COMPRESS: dict[str, Callable[[bytes], bytes]] = {
+    "gz": lambda b: gzip.compress(b, 6, mtime=0),
+    "xz": lambda b: lzma.compress(b, check=lzma.CHECK_CRC32),
+    "zstd": lambda b: zstandard.ZstdCompressor(level=3).compress(b),
+}
+DECOMPRESS: dict[str, Callable[[bytes], bytes]] = {
+    "gz": gzip.decompress,
+    "xz": lzma.decompress,
+    "zstd": lambda b: zstandard.ZstdDecompressor().decompressobj().decompress(b),
+}
 
-def _each(f):
-    def run(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: None if b is None else f(bytes(b)), na_action="ignore")
 
-    return F.pandas_udf(run, "binary")
+def _each(table: dict[str, Callable[[bytes], bytes]], codec: str, data: Column) -> Column:
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else table[codec](bytes(v)) for v in values], dtype=object)
 
+    return F.pandas_udf(run, "binary")(data)
 
-compress = {"gz": _each(lambda b: gzip.compress(b, 6, mtime=0)), "xz": _each(lambda b: lzma.compress(b, check=lzma.CHECK_CRC32)), "zstd": _each(lambda b: zstandard.ZstdCompressor(level=3).compress(b))}
-decompress = {"gz": _each(gzip.decompress), "xz": _each(lzma.decompress), "zstd": _each(lambda b: zstandard.ZstdDecompressor().decompress(b, max_output_size=1 << 31 if zstandard.frame_content_size(b) < 0 else 0))}
+
+def compress(codec: str, data: Column) -> Column:
+    return _each(COMPRESS, codec, data)
+
+
+def decompress(codec: str, data: Column) -> Column:
+    return _each(DECOMPRESS, codec, data)
 
 
 def _dictionary(base: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -36,11 +53,16 @@ def patched(base: bytes, patch: bytes) -> bytes:
     return zstandard.ZstdDecompressor(dict_data=_dictionary(base), max_window_size=1 << 27).decompress(patch)
 
 
-@F.pandas_udf("binary")
-def make_patch(base: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else diff(bytes(b or b""), bytes(t)) for b, t in zip(base, target)])
+def _pairs(f: Callable[[bytes, bytes], bytes], base: Column, other: Column) -> Column:
+    def run(bases: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([None if o is None else f(bytes(b or b""), bytes(o)) for b, o in zip(bases, others)], dtype=object)
+
+    return F.pandas_udf(run, "binary")(base, other)
+
+
+def make_patch(base: Column, target: Column) -> Column:
+    return _pairs(diff, base, target)
 
 
-@F.pandas_udf("binary")
-def apply_patch(base: pd.Series, patch: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else patched(bytes(b or b""), bytes(p)) for b, p in zip(base, patch)])
+def apply_patch(base: Column, patch: Column) -> Column:
+    return _pairs(patched, base, patch)

@@ -75,7 +75,7 @@ def walk(entries: DataFrame, default_shift: int = 16) -> DataFrame:
     chunk_shift of 0 stands for the default."""
     shift = numbers.or_default(F.col("chunk_shift"), F.lit(default_shift))
     d = entries.select("*", F.posexplode("digests").alias("idx", "digest"))
-    piece = F.shiftleft(F.lit(1).cast("long"), shift.cast("int"))
+    piece = F.pow(F.lit(2), shift).cast("long")
     return d.withColumn("chunk_size", F.least(piece, F.col("size") - F.col("idx") * piece))
 
 

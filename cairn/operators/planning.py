@@ -14,11 +14,11 @@ MOST_CHUNKS, MOST_BYTES, MOST_OPS, MOST_SOURCES = 128, 12 << 20, 8, 3
 def aligned(wanted: DataFrame, base: DataFrame) -> DataFrame:
     """Wanted and base chunks of a pair side by side: of the same path at the same index, else (the base
     lacks the path) by place among all chunks of the image. wanted/base: pair, path, idx, ordinal, digest, size."""
-    b = base.select("pair", F.col("path").alias("b_path"), F.col("idx").alias("b_idx"), F.col("ordinal").alias("b_ordinal"), F.col("digest").alias("base_digest"), F.col("size").alias("base_size"))
+    b = base.select(F.col("pair").alias("b_pair"), F.col("path").alias("b_path"), F.col("idx").alias("b_idx"), F.col("ordinal").alias("b_ordinal"), F.col("digest").alias("base_digest"), F.col("size").alias("base_size"))
     paths = base.select("pair", "path", F.lit(True).alias("has_")).distinct()
     w = wanted.join(paths, ["pair", "path"], "left")
-    same = w.filter("has_").join(b.drop("b_ordinal"), (F.col("pair") == b["pair"]) & (F.col("path") == F.col("b_path")) & (F.col("idx") == F.col("b_idx")), "left").drop(b["pair"]).drop("b_path", "b_idx")
-    other = w.filter("has_ is null").join(b.drop("b_idx", "b_path"), (F.col("pair") == b["pair"]) & (F.col("ordinal") == F.col("b_ordinal")), "left").drop(b["pair"]).drop("b_ordinal")
+    same = w.filter("has_").join(b.drop("b_ordinal"), (F.col("pair") == F.col("b_pair")) & (F.col("path") == F.col("b_path")) & (F.col("idx") == F.col("b_idx")), "left").drop("b_pair", "b_path", "b_idx")
+    other = w.filter("has_ is null").join(b.drop("b_idx", "b_path"), (F.col("pair") == F.col("b_pair")) & (F.col("ordinal") == F.col("b_ordinal")), "left").drop("b_pair", "b_ordinal")
     return same.withColumn("how", F.lit("path")).unionByName(other.withColumn("how", F.lit("ordinal"))).drop("has_")
 
 

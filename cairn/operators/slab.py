@@ -14,7 +14,8 @@ def allocate(rows: DataFrame, order: list[str], blocks: str = "blocks", slab_blo
     """Addresses by prefix sum over first occurrences of digests (order: unique, its first column
     numeric); a repeated digest has the address of its first. A slab takes chunks that start in all but its last
     `widest` blocks (the widest chunk), so none crosses its end; then the next slab follows."""
-    first = rows.groupBy("digest").agg(F.min(F.struct(*order, blocks)).alias("f")).select("digest", "f.*")
+    own = [c for c in order if c != "digest"]
+    first = rows.groupBy("digest").agg(F.min(F.struct(*own, blocks)).alias("f")).select("digest", "f.*")
     room = slab_blocks - taken - widest
     d = running_total(first, [*order], F.col(blocks), "before")
     return d.select("digest", F.floor(F.col("before") / room).cast("int").alias("slab_id"), (F.col("before") % room + taken).alias("addr"), F.col(blocks).cast("long").alias("blocks"))

@@ -1,4 +1,4 @@
 """Registered queries: QUERIES by name, and their SQL in ORACLES."""
 
-from . import relational_queries, scalar_queries  # noqa: F401
+from . import relational_queries, scalar_queries, source_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

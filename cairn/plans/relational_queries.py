@@ -126,9 +126,10 @@ def j04(spark, d):
     return sl.locate(reads(spark, d), slab(spark, d)).select("event_id", "slab_id", "addr", "chunk_addr", "blocks", "digest")
 
 
-@query("J04_as_of", f"WITH {SLAB}, {_READS} SELECT event_id, r.slab_id, r.addr, s.digest, s.addr AS matched_addr FROM reads r ASOF LEFT JOIN slab s ON r.slab_id = s.slab_id AND r.addr >= s.addr")
+@query("J04_as_of", f"WITH {SLAB}, {_READS} SELECT event_id, r.slab_id, r.addr, coalesce(s.digest, -1) AS digest, coalesce(s.addr, -1) AS matched_addr FROM reads r ASOF LEFT JOIN slab s ON r.slab_id = s.slab_id AND r.addr >= s.addr")
 def j04b(spark, d):
-    return ordered.as_of(reads(spark, d), slab(spark, d), ["slab_id"], "addr", ["digest"])
+    found = ordered.as_of(reads(spark, d), slab(spark, d), ["slab_id"], "addr", ["digest"])
+    return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("digest", "matched_addr")})
 
 
 @query("W01_allocate", f"WITH {SLAB} SELECT digest, slab_id, addr, blocks FROM slab")
@@ -386,14 +387,14 @@ f AS (SELECT o_custkey, o_orderkey, k, 0 AS op, 1 AS n, s AS b FROM g WHERE k =
 SELECT o_custkey, o_orderkey, op AS request FROM f""")
 def w07(spark, d):
     """W07, O09."""
-    o = table(spark, d, "orders").withColumn("s", F.round("o_totalprice", 0).cast("long"))
+    o = table(spark, d, "orders").withColumn("s", F.rint("o_totalprice").cast("long"))
     return planning.packed(o, "o_custkey", "o_orderkey", "s", 4, 500000)
 
 
 @query("A15_request_totals", "WITH x AS (SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS request, o_totalprice::BIGINT AS s, o_orderstatus FROM orders) SELECT o_custkey, request::INT AS request, count(*) AS chunks, sum(s)::BIGINT AS bytes, bool_or(o_orderstatus = 'P') AS any_base FROM x GROUP BY ALL")
 def a15(spark, d):
     """A15, A16, A18, A21."""
-    o = table(spark, d, "orders").withColumn("s", F.round("o_totalprice", 0).cast("long"))
+    o = table(spark, d, "orders").withColumn("s", F.rint("o_totalprice").cast("long"))
     p = planning.packed(o, "o_custkey", "o_orderkey", "s", 4, 1 << 60)
     return o.join(p, ["o_custkey", "o_orderkey"]).groupBy("o_custkey", "request").agg(F.count("*").alias("chunks"), F.sum("s").alias("bytes"), F.bool_or(F.col("o_orderstatus") == "P").alias("any_base"))
 

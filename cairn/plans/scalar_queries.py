@@ -181,7 +181,7 @@ def f16(spark, d):
 
 @query("F17_commands", "SELECT o_orderkey AS image, 'rebuild ' || o_orderkey || ' --size ' || o_totalprice::BIGINT AS command FROM orders WHERE o_orderstatus = 'F'")
 def f17(spark, d):
-    return images(spark, d).filter("state = 'F'").select("image", F.format_string("rebuild %d --size %d", "image", F.round("image_size", 0).cast("long")).alias("command"))
+    return images(spark, d).filter("state = 'F'").select("image", F.format_string("rebuild %d --size %d", "image", F.rint("image_size").cast("long")).alias("command"))
 
 
 @query("F18_rerequest", "SELECT o_orderkey AS image, CASE WHEN o_orderstatus = 'O' THEN o_orderkey % 2 = 0 ELSE o_orderkey % 3 = 0 END AS ask, o_orderkey % 500 IN (403, 404) AS not_found FROM orders")
@@ -286,7 +286,7 @@ def n01(spark, d):
 
 @query("N02_narrowed", "SELECT o_orderkey, coalesce(TRY_CAST(o_totalprice::BIGINT AS SMALLINT), -1) AS small FROM orders")
 def n02(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.coalesce(N.narrowed(F.round("o_totalprice", 0).cast("long")), F.lit(-1)).cast("smallint").alias("small"))
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(N.narrowed(F.rint("o_totalprice").cast("long")), F.lit(-1)).cast("smallint").alias("small"))
 
 
 @query("N03_shards", "SELECT o_orderkey, least(greatest((o_orderkey * 1000000 + 20971519) // 20971520, 1), 40) AS shards FROM orders")
