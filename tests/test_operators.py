@@ -151,3 +151,18 @@ def test_polls_and_refs(spark):
     known = spark.createDataFrame([("r", "refs/heads/main", "h1"), ("r", "refs/tags/main", "h2")], "repo string, name string, hash string")
     ask = spark.createDataFrame([("r", "main"), ("r", "a" * 40), ("r", "none")], "repo string, ref string")
     assert {r["ref"]: r["hash"] for r in texts.resolved_refs(ask, known).collect()} == {"main": "h1", "a" * 40: "a" * 40, "none": None}
+
+
+def test_first_fit_against_a_loop(spark):
+    from cairn.operators.packing import first_fit
+
+    rnd = random.Random(9)
+    rows = [(rnd.randint(0, 2), i, rnd.randint(1, 70)) for i in range(200)]
+    got = {(r["g"], r["o"]): r["block"] for r in first_fit(spark.createDataFrame(rows, "g long, o long, s long"), "g", "o", "s", 100, 3).collect()}
+    free: dict[int, list[int]] = {0: [], 1: [], 2: []}
+    for g, o, s in rows:
+        f = free[g]
+        at = next((i for i in range(max(0, len(f) - 3), len(f)) if f[i] >= s), len(f))
+        f.extend([100] * (at == len(f)))
+        f[at] -= s
+        assert got[g, o] == at
