@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -46,3 +48,39 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: l
     order = W.partitionBy(*keys).orderBy(at, "side_").rowsBetween(W.unboundedPreceding, 0)
     found = both.withColumn("hit_", F.last("hit_", ignorenulls=True).over(order)).filter("side_ = 1")
     return found.select(*left.columns, *[F.col("hit_")[v].alias(v) for v in values], F.col("hit_")["at_"].alias(f"matched_{at}"))
+
+
+def fold(df: DataFrame, key: str, order: str, value: Column, kind: str, start: tuple, step: Callable[[tuple, int], tuple[tuple, object]], name: str) -> DataFrame:
+    """(key, order, name): a sequential rule along each key's rows, where every row's outcome depends on the ones
+    before. Rows are sorted inside partitions and streamed; only the state of one key is held, so a key may be of any
+    length (one task works on it, as the rule asks). step(state, value) gives (state, outcome); value is a long."""
+    types = dict(df.dtypes)
+    d = df.select(key, order, value.cast("long").alias("value_")).repartition(key).sortWithinPartitions(key, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: object = run
+        state = start
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if k != held:
+                    held, state = k, start
+                state, outcome = step(state, v)
+                out.append(outcome)
+            kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kinds[kind])], [key, order, name])
+
+    return d.mapInArrow(run, f"`{key}` {types[key]}, `{order}` {types[order]}, `{name}` {kind}")
+
+
+def ranked(df: DataFrame, order: list[str], name: str, folder: str) -> DataFrame:
+    """Adds each row's place (from 1) by a unique order of any types: rows are dealt to ranges, written to `folder`
+    (so that ranges stay as they are), counted, and numbered inside their range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).withColumn("range_", F.spark_partition_id())
+    dealt.write.parquet(folder)
+    d = df.sparkSession.read.parquet(folder)
+    counts = d.groupBy("range_").agg(F.count("*").alias("n_"))
+    starts = counts.select("range_", F.coalesce(F.sum("n_").over(W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start_"))
+    inside = F.row_number().over(W.partitionBy("range_").orderBy(*order))
+    return d.join(F.broadcast(starts), "range_").withColumn(name, F.col("start_") + inside).drop("range_", "start_")  # a row per range

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import recompress_class
-from .ordered import running_total
+from .ordered import fold
 
 MOST_CHUNKS, MOST_BYTES, MOST_OPS, MOST_SOURCES = 128, 12 << 20, 8, 3
 
@@ -37,18 +37,15 @@ def missing(wanted: DataFrame, *held: DataFrame) -> DataFrame:
 
 def packed(rows: DataFrame, key: str, order: str, size: str, most_chunks: int = MOST_CHUNKS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Rows of a key, in order, in requests of at most most_chunks; a request is closed before a row once
-    it has most_bytes (so it may go over by one row). A fold over the key's sorted sizes: (key, order, request)."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("op"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("b"))
-
-    def add(acc: Column, x: Column) -> Column:
-        full = (acc["n"] >= most_chunks) | (acc["b"] >= most_bytes)
-        op = acc["op"] + F.when(full, 1).otherwise(0)
-        return F.struct(F.concat(acc["at"], F.array(op)).alias("at"), op.alias("op"), (F.when(full, 0).otherwise(acc["n"]) + 1).alias("n"), (F.when(full, F.lit(0).cast("long")).otherwise(acc["b"]) + x["s"]).alias("b"))
-
-    d = rows.groupBy(key).agg(items.alias("items"))
-    d = d.withColumn("ops", F.aggregate("items", zero, add, lambda acc: acc["at"]))
-    return d.select(key, F.explode(F.arrays_zip("items", "ops")).alias("x")).select(key, F.col("x.items.o").alias(order), F.col("x.ops").alias("request"))
+    it has most_bytes (so it may go over by one row): (key, order, request)."""
+
+    def step(state: tuple, bytes_: int) -> tuple[tuple, int]:
+        request, n, held = state
+        if n >= most_chunks or held >= most_bytes:
+            request, n, held = request + 1, 0, 0
+        return (request, n + 1, held + bytes_), request
+
+    return fold(rows, key, order, F.col(size), "int", (0, 0, 0), step, "request")
 
 
 def newest(refs: DataFrame, key: str, order: str, most: int = MOST_SOURCES) -> DataFrame:

@@ -486,8 +486,10 @@ def a19(spark, d):
 @query("O01_path_order", "SELECT page_id, row_number() OVER (ORDER BY string_split(p, '/'), page_id) AS place FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)")
 def o01(spark, d):
     """An explicit total order; places by prefix sums over sorted ranges."""
+    from .source_queries import scratch
+
     p = table(spark, d, "pages").select("page_id", F.split(F.regexp_replace("url", "^https?://", ""), "/").alias("parts"))
-    return p.select("page_id", F.row_number().over(W.orderBy("parts", "page_id")).alias("place"))
+    return ordered.ranked(p, ["parts", "page_id"], "place", scratch(spark, "places")).select("page_id", "place")
 
 
 @query("U04_maps_and_lists", "SELECT o_orderkey, '{\"a\":' || o_custkey || ',\"b\":2}' AS merged, 'x' || o_orderkey || 'y' AS joined FROM orders")

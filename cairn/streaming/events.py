@@ -24,15 +24,18 @@ def sessions(events: DataFrame, key: str, gap: str, watermark: str | None = None
 
 def first_within(events: DataFrame, key: str, ttl: str, watermark: str | None = None) -> DataFrame:
     """Of a key's events only those that come later than ttl after the last one that passed. Streaming:
-    Spark's own deduplication within the watermark; batch: a fold over each key's times."""
+    Spark's own deduplication within the watermark; batch: a rule along each key's events."""
     if events.isStreaming:
         return events.withWatermark("ts", watermark or ttl).dropDuplicatesWithinWatermark([key])
-    seconds = F.unix_micros("ts")
+    from ..operators.ordered import fold
+
     limit = int(pd.Timedelta(ttl).total_seconds() * 1_000_000)
-    start = F.struct(F.lit(-(2**62)).alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    add = lambda a, t: F.when(t - a["last"] > limit, F.struct(t.alias("last"), F.concat(a["kept"], F.array(t)).alias("kept"))).otherwise(a)
-    d = events.groupBy(key).agg(F.array_sort(F.collect_list(seconds)).alias("times"))
-    return d.select(key, F.explode(F.aggregate("times", start, add, lambda a: a["kept"])).alias("t")).select(key, F.timestamp_micros("t").alias("ts"))
+
+    def step(state: tuple, at: int) -> tuple[tuple, bool]:
+        passes = state[0] is None or at - state[0] > limit
+        return ((at,) if passes else state), passes
+
+    return fold(events, key, "ts", F.unix_micros("ts"), "boolean", (None,), step, "passes").filter("passes").drop("passes")
 
 
 def coalesced(events: DataFrame, key: str, width: str) -> DataFrame:
