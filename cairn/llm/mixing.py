@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling (DataFrame functions only).
 
 Every source s gets a target of t_s words. A document is expected in the mix lambda = t_s / size_s
-times (times its propensity, if one is given): floor(lambda) whole copies are certain, and the rest,
+times (times its propensity over the source's mean, if one is given; cap at most): floor(lambda) whole copies are certain, and the rest,
 pi = lambda - floor(lambda), is its inclusion probability for one more. With u uniform from a hash of
 the id, documents rank by (u / (1 - u)) / (pi / (1 - pi)), random odds over inclusion odds, and the
 first of each source are taken until its target is met: a sample of fixed size in words. A document is

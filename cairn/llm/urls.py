@@ -64,7 +64,9 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     spark = urls.sparkSession
     stacks = written(_stacks(rules), "url-rules")
     levels = stacks.groupBy("level").agg(F.count("*").alias("n_rules"))
-    base = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(url), "path": path_of(url)})
+    own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    flat = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]  # so that no column of urls clashes with ours
+    base = urls.select(*flat, host_of(url).alias("host"), path_of(url).alias("path"))
     pairs = base.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.reverse(F.slice(labels, -i, i)), "."))
@@ -80,7 +82,7 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     found = found.groupBy("host", "path").agg(F.max(F.struct("best.n", "best.h", "best.rule", "best.verdict")).alias("best"))
     found = found.select(F.col("host").alias("h_"), F.col("path").alias("p_"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     out = base.join(found, (F.col("host") == F.col("h_")) & (F.col("path") == F.col("p_")), "left")
-    return out.drop("h_", "p_").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 ORACLE = rf"""
