@@ -42,7 +42,8 @@ WITH_CHECKSUMS = 0x80
 FRAME_IDS = 16_384
 FILE_IDS = 8_000_000
 END_ID = 2
-FIRST = "\0"
+FIRST, SIGNS = "\0", ".,!?;:#$%&*|"
+BLANK = "\u0120"  # a blank in the texts of byte-level vocabularies
 _encoders: dict = {}
 
 
@@ -58,6 +59,8 @@ class UnitEncoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_unit = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.opens = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.bool_)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(BLANK)]] = True
         self.known: dict[str, int] = {}
         self.clear()
 
@@ -68,14 +71,46 @@ class UnitEncoder:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """A unit is known by its text, with the blank before it; a text's first unit with FIRST before it."""
-        got = self._plain([u[1:] if u[0] == FIRST else " " + u for u in new])
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        self.known.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
+    def _add(self, units: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(units, range(len(self.lengths), len(self.lengths) + len(units))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of known units, one behind the other."""
+        n = self.lengths[at]
+        ends = np.cumsum(n)
+        return n, self.ids[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _learn(self, new: list[str]) -> None:
+        """A unit is known by its text, with the blank before it; a text's first unit with FIRST before it.
+        Letters with signs behind them are two words to the vocabulary, so their ids are put together."""
+        pairs = []
+        plain = []
+        for u in new:
+            stem = u.rstrip(SIGNS)
+            if len(stem) < len(u) and stem.isalpha():
+                pairs.append((u, stem, FIRST + u[len(stem) :]))
+            else:
+                plain.append(u)
+        plain = list({*plain, *(p[1] for p in pairs), *(p[2] for p in pairs)} - self.known.keys())
+        words = [u for u in plain if u.isalpha()]
+        for i in range(0, len(words), 4096):
+            # many words at a time: a word's ids start where an id's text starts with a blank
+            part = words[i : i + 4096]
+            ids = np.array(self._plain([" " + " ".join(part)])[0], np.uint32)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(part):
+                self._add(part, np.diff(starts, append=len(ids)), ids)
+        rest = [u for u in plain if u not in self.known]
+        got = self._plain([u[1:] if u[0] == FIRST else " " + u for u in rest])
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        self._add(rest, lengths, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())))
+        if pairs:
+            at = np.array([(self.known[a], self.known[b]) for _, a, b in pairs])
+            n, ids = self._gather(at.reshape(-1))
+            self._add([p[0] for p in pairs], n.reshape(-1, 2).sum(axis=1), ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_unit:
@@ -96,9 +131,8 @@ class UnitEncoder:
             self._learn(new)
         n_units = np.fromiter(map(len, cut), np.int64, len(cut))
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(n_units.sum()))
-        n = self.lengths[at]
+        n, ids = self._gather(at)
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(self.starts[at] - ends[:-1], n) + np.arange(ends[-1])]
         out = np.split(ids, ends[np.cumsum(n_units)[:-1]])
         for i, x in zip(whole, self._plain([texts[i] for i in whole])):
             out[i] = np.array(x, np.uint32)
@@ -114,7 +148,7 @@ def encoder(path: str) -> UnitEncoder:
 class FrameWriter:
     """Documents one after the other; blob() is the file."""
 
-    def __init__(self, level: int = 3) -> None:
+    def __init__(self, level: int = 1) -> None:
         self.compress = zstandard.ZstdCompressor(level=level, write_checksum=False).compress
         self.frames: list[bytes] = []
         self.table: list[tuple[int, int, int]] = []
@@ -206,7 +240,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, n
             piece, writer = piece + 1, FrameWriter()
 
         for batch in batches:
-            for s in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for s in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 for doc_id, ids in zip(s.column(0).to_pylist(), encoder(path).encode(s.column(1).to_pylist())):
                     writer.add(doc_id, np.concatenate([ids, end]))
                     if writer.n_ids >= FILE_IDS:

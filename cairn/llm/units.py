@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import re
 
-_ODD = re.compile(r"\s\s|\A\s|\s\Z")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: units kept by a worker; beyond, it starts anew (that costs time only)
-MOST_UNITS = 400_000
+MOST_UNITS = 1_000_000
 
 
 def units(text: str) -> list[str]:
     """'a b  c' gives 'a', 'b  c': the text is ' '.join(units)."""
-    return _SAFE.split(text) if _ODD.search(text) else text.split(" ")
+    words = text.split()
+    if len(text) - sum(map(len, words)) == len(words) - 1:  # single characters of white space, and only between words
+        return text.split(" ")
+    return _SAFE.split(text)
