@@ -4,13 +4,16 @@
    the minima of 160 universal hashes, and 32 band keys of 5 minima each. At similarity 0.8 a pair shares no
    band with probability (1 - 0.8**5)**32 = 3e-6.
 2. Documents of equal sets are one class; only classes go on, so a group of copies costs one row a band.
-3. Buckets (classes that share a band) are worked off in rounds. Each bucket links its members with one of
-   them, its centre, never all pairs; pairs that the full signatures put under `est_least` are dropped (0.8 lies
-   six deviations above), the others are confirmed on their whole sets. The confirmed links' components come
-   from alternating large-star and small-star. A bucket whose members are all in one component is done:
-   further links in it change nothing. In the others the centre, now compared with all, leaves, and the next
-   round follows; a bucket whose pairs across components are at most `pairs_per_row` a member has these
-   compared at once. So it ends when no pair that shares a bucket and lies across components is unseen.
+3. Buckets (classes that share a band) are worked off in rounds. Where one is crowded (many members, many
+   components), shingles that only one of all members of such buckets has are counted: they bound what a pair can
+   have in common, so most pairs just under the threshold are never made, and no link is lost by it. In a round each bucket compares a few
+   centres (1, then 8, 64, ...: its least member and others by hash) with its members of other components, never
+   all with all; pairs that the full signatures put under `est_least` are dropped (0.8 lies six deviations
+   above), the others are confirmed on their whole sets, and the confirmed links' components come from alternating
+   large-star and small-star. A bucket whose members are all in one component is done: further links in it
+   change nothing. In the others the centres, now compared with all, leave, and the next round follows; a bucket
+   with at most `pairs_per_row` pairs a member across components has these compared at once. So it ends when no
+   pair that shares a bucket and lies across components is unseen.
 
 The set of a text is its distinct shingles of `width` words, A-Z lower-cased; with fewer words, the
 whole sequence as one; without words (or null), empty: no links. Rows that repeat stay rows. A null id
@@ -141,7 +144,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, est_least: float = 0.6, pairs_per_row: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable), kept; one row per row of docs."""
     sigs = written(signatures(docs, width), "minhash")
-    rows = sigs.filter("node is not null").select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
+    rows = sigs.filter("node is not null").select("node", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node"]).select("node", "n", F.explode("bands").alias("band"))
     # written first: a join with it can then be split where a bucket is large
     counts = written(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "bands")
     buckets = written(rows.join(counts, "band", "left_semi"), "buckets")
@@ -169,42 +172,67 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, est_leas
 
 def _linked(docs: DataFrame, buckets: DataFrame, sigs: DataFrame, ids: DataFrame, width: int, percent: int, est_least: float, pairs_per_row: int) -> DataFrame | None:
     """node, comp of all nodes with a confirmed link (see the module's text); None if there is none."""
-    texts = None
-    links = seen = comp = None
-    left = buckets.withColumn("comp", F.col("node"))
+    texts = links = seen = comp = shared = None
+    # e: how many of its n shingles a node can share with others at most
+    left, n_centres = buckets.withColumn("e", F.col("n")).withColumn("comp", F.col("node")), 1
     while True:
-        stats = left.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.count("*").alias("k"))
-        stats = written(stats.filter("k > 1").withColumn("few", (F.col("n") * F.col("n") - F.col("sq")) / 2 <= F.lit(pairs_per_row) * F.col("n")), "bucket-stats")
+        sizes = left.groupBy("band", "comp").agg(F.count("*").alias("m"))
+        stats = sizes.groupBy("band").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.count("*").alias("k")).filter("k > 1")
+        first = left.groupBy("band").agg(F.min("node").alias("first"))
+        stats = stats.join(first, "band").withColumn("few", (F.col("all") * F.col("all") - F.col("sq")) / 2 <= F.lit(pairs_per_row) * F.col("all"))
+        stats = written(stats.select("band", "all", "few", "first"), "bucket-stats")
         if stats.isEmpty():
             return comp
-        left = left.join(stats.select("band", "few"), "band")
-        few, many = left.filter("few"), left.filter("not few")
-        centre = written(many.groupBy("band").agg(F.min(F.struct("node", "comp")).alias("c")), "centres")
-        star = many.join(centre, "band").filter("comp <> c.comp").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
-        other = few.select("band", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        across = few.join(other, "band").filter("node < b and comp <> comp_b").select(F.col("node").alias("a"), "b")
-        pairs = star.union(across).distinct()
+        left = left.join(stats, "band")
+        if shared is None and not stats.filter("not few").isEmpty():
+            if texts is None:
+                texts = written(_texts(docs, ids, width), "member-texts")
+            shared = written(_shared(texts, written(left.filter("not few").select("node").distinct(), "crowded"), width), "shared")
+            left = left.join(shared, "node", "left").withColumn("e", F.coalesce("shared", "e")).drop("shared")
+            # what can share too little with any other has no link left to find
+            left = left.filter(100 * F.col("e") >= percent * F.col("n"))
+        picked = F.col("few") | (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", "band"), F.col("all")) < n_centres)
+        left = written(left.select("band", "node", "n", "e", "comp", picked.alias("centre")), "left")
+        centres = left.filter("centre").select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("e").alias("e_a"), F.col("comp").alias("comp_a"))
+        possible = f"100 * least(e, e_a) >= {percent} * (n + n_a - least(e, e_a))"
+        pairs = left.join(centres, "band").filter(f"comp <> comp_a and (not centre or a < node) and {possible}")
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         agreeing = written(_agreeing(pairs, sigs, est_least), "agreeing")
-        if texts is None and not agreeing.isEmpty():
-            texts = written(_texts(docs, ids, width), "member-texts")
         if not agreeing.isEmpty():
+            if texts is None:
+                texts = written(_texts(docs, ids, width), "member-texts")
             found = written(_confirmed(agreeing, texts, width, percent), "links")
             links = found if links is None else links.union(found)
             if not found.isEmpty():
                 comp = written(components(links), "comp")
         seen = pairs if seen is None else seen.union(pairs)
-        # few buckets are seen whole; of the others the centre leaves
-        left = many.join(centre.select("band", F.col("c.node").alias("c_")), "band").filter("node <> c_").select("band", "node")
+        left, n_centres = left.filter("not centre").select("band", "node", "n", "e"), n_centres * 8
         if comp is not None:
-            left = left.join(comp, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+            left = left.join(comp, "node", "left").select("band", "node", "n", "e", F.coalesce("comp", "node").alias("comp"))
         else:
             left = left.withColumn("comp", F.col("node"))
         left = written(left, "left")
 
 
+def _shared(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, shared: how many of a node's shingles stand in another of the nodes too. The others are its own alone,
+    so no pair has more than the lesser of both in common: an exact bound before any pair is made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0), batch.column(1)):
+                s = shingle_set(text.as_py(), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([node.as_py()] * len(s), pa.binary())], ["s", "node"])
+
+    rows = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "s long, node binary")
+    own = rows.groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = rows.groupBy("node").agg(F.count("*").alias("all"))
+    return sizes.join(own, "node", "left").select("node", (F.col("all") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
 def _texts(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """node, text of one document of each class; the digest is made anew, so a repeated id does no harm."""
 
