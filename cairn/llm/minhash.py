@@ -5,8 +5,9 @@
    band with probability (1 - 0.8**5)**32 = 3e-6.
 2. Documents of equal sets are one class; only classes go on, so a group of copies costs one row a band.
 3. Buckets (classes that share a band) are worked off in rounds. Where one is crowded (many members, many
-   components), shingles that only one of all members of such buckets has are counted: they bound what a pair can
-   have in common, so most pairs just under the threshold are never made, and no link is lost by it. In a round each bucket compares a few
+   components), shingles that only one of all members of such buckets has are counted: they bound what a pair of
+   such members can have in common, so most of their pairs just under the threshold are never made, and no link is lost
+   by it, as the bound is not used against members of other buckets only. In a round each bucket compares a few
    centres (1, then 8, 64, ...: its least member and others by hash) with its members of other components, never
    all with all; pairs that the full signatures put under `est_least` are dropped (0.8 lies six deviations
    above), the others are confirmed on their whole sets, and the confirmed links' components come from alternating
@@ -173,8 +174,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, est_leas
 def _linked(docs: DataFrame, buckets: DataFrame, sigs: DataFrame, ids: DataFrame, width: int, percent: int, est_least: float, pairs_per_row: int) -> DataFrame | None:
     """node, comp of all nodes with a confirmed link (see the module's text); None if there is none."""
     texts = links = seen = comp = shared = None
-    # e: how many of its n shingles a node can share with others at most
-    left, n_centres = buckets.withColumn("e", F.col("n")).withColumn("comp", F.col("node")), 1
+    # e: how many of its n shingles a node of crowded buckets can share with others of such at most; null for other nodes
+    left, n_centres = buckets.withColumn("e", F.lit(None).cast("long")).withColumn("comp", F.col("node")), 1
     while True:
         sizes = left.groupBy("band", "comp").agg(F.count("*").alias("m"))
         stats = sizes.groupBy("band").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.count("*").alias("k")).filter("k > 1")
@@ -188,13 +189,16 @@ def _linked(docs: DataFrame, buckets: DataFrame, sigs: DataFrame, ids: DataFrame
             if texts is None:
                 texts = written(_texts(docs, ids, width), "member-texts")
             shared = written(_shared(texts, written(left.filter("not few").select("node").distinct(), "crowded"), width), "shared")
-            left = left.join(shared, "node", "left").withColumn("e", F.coalesce("shared", "e")).drop("shared")
-            # what can share too little with any other has no link left to find
-            left = left.filter(100 * F.col("e") >= percent * F.col("n"))
+            left = left.drop("e").join(shared.withColumnRenamed("shared", "e"), "node", "left")
+            # what can share too little with any other in crowded buckets has no link to find there; in the others
+            # it may meet nodes that were not counted, so it stays
+            left = left.filter(F.col("few") | (100 * F.col("e") >= percent * F.col("n")))
         picked = F.col("few") | (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", "band"), F.col("all")) < n_centres)
         left = written(left.select("band", "node", "n", "e", "comp", picked.alias("centre")), "left")
         centres = left.filter("centre").select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("e").alias("e_a"), F.col("comp").alias("comp_a"))
-        possible = f"100 * least(e, e_a) >= {percent} * (n + n_a - least(e, e_a))"
+        # the bound holds only where both were counted
+        both = "if(e is null or e_a is null, least(n, n_a), least(e, e_a))"
+        possible = f"100 * {both} >= {percent} * (n + n_a - {both})"
         pairs = left.join(centres, "band").filter(f"comp <> comp_a and (not centre or a < node) and {possible}")
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if seen is not None:

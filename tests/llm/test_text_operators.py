@@ -219,6 +219,28 @@ def test_near_duplicates_of_a_large_group(spark):
     assert [r["component_id"] for r in rows] == comp
 
 
+def test_near_copies_of_which_one_is_in_a_crowded_bucket(spark):
+    """What a member of a crowded bucket shares with a node outside such buckets counts as well."""
+    rnd = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    own = lambda: [f"o{rnd.randrange(10**9)}" for _ in range(20)]
+    minima = lambda words: minhash.minima(minhash.shingle_set(" ".join(words), 2)).reshape(minhash.BANDS, -1)
+    meet = lambda a, b: np.flatnonzero((a == b).all(axis=1))
+    x = passage + own()
+    band = next(k for k in meet(minima(x), minima(passage)))
+    crowd = []
+    while len(crowd) < 12:
+        other = passage + own()
+        if band in meet(minima(other), minima(x)):
+            crowd.append(other)
+    y = next(y for k in range(1, 60) if not any(len(meet(minima(y := x[:k] + ["changed"] + x[k + 1 :]), minima(c))) for c in crowd) and len(meet(minima(y), minima(x))))
+    texts = [" ".join(t) for t in (*crowd, x, y)]
+    _, comp = brute_components(texts, 2)
+    assert comp[-1] == comp[-2] == len(crowd)
+    rows = sorted(minhash.near_duplicates(docs(spark, texts), 2, pairs_per_row=1).collect())
+    assert [r["component_id"] for r in rows] == comp
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(40)] + [("900", "901")], "a string, b string")
     got = {r["node"]: r["comp"] for r in minhash.components(edges).collect()}
