@@ -153,6 +153,29 @@ def test_field_adds_what_patterns_miss(spark):
     assert personal_data.personal_data(docs(spark, [])).count() == 0
 
 
+def test_every_labelled_line_is_found():
+    """Through find(), so that no line is left out before the field sees it."""
+    for line in personal_data.LABELLED:
+        text, want = "", []
+        for part in re.split(r"(\[(?:email|ip|card|phone)\|(?:[^\[\]]|\[[^\]]*\])*\])", line):
+            m = re.fullmatch(r"\[(\w+)\|(.*)\]", part)
+            if m:
+                want.append((m[1], len(text), len(text) + len(m[2])))
+            text += m[2] if m else part
+        base, every = personal_data.find([text])[0]
+        own = {(k, *s) for k in personal_data.KINDS for s in base[k]}
+        assert set(every) == set(want) | own, text
+
+
+def test_written_addresses_without_digits():
+    long = "maximiliane dot featherstonehaugh at subdomain dot department dot example dot com"
+    for address in ("s.miller (at) uni-example.edu", "jane [at] example.org", "jane (at) example.org", long):
+        text = f"write to {address} soon"
+        assert personal_data.find([text])[0][1] == [("email", 9, 9 + len(address))], text
+    assert not personal_data.fits("email", "the people at home dot com " + "and then some more words " * 3)
+    assert not any(personal_data.find([t])[0][1] for t in ("look at this.then go", "arrive at home.Then go", "see it at www.example.com"))
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
