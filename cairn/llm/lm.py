@@ -1,12 +1,17 @@
 """Language-model scores: prediction by partial matching over bytes, and a word baseline.
 
-The byte model is a trie of contexts of up to two symbols over 257 symbols (the bytes and an edge, which stands
-twice before a text and once behind it), counted over all training texts. A symbol not seen in a context is
+The byte model is a trie of contexts of up to `order` symbols over 257 symbols (the bytes and an edge, which stands
+`order` times before a text and once behind it), counted over all training texts. A symbol not seen in a context is
 reached by an escape (as many escape counts as different symbols seen there), and in the shorter context the
 symbols of the longer are excluded; behind the empty context stands a uniform choice of what was never seen.
-As the trie is fixed when it scores, a symbol's code length depends on its two predecessors only: it is tabled
-once per worker, 257**3 numbers at most whatever the corpus, and a text's score is a sum of look-ups.
-Two symbols is where the trie is bounded by construction; deeper contexts would grow with the corpus.
+As the trie is fixed when it scores, a symbol's code length depends on its `order` predecessors only, so it is made
+once for each different gram (these and the symbol), and a text's score is a sum of look-ups.
+
+With two symbols all codes are tabled in each worker (257**3 at most). Longer contexts grow with the corpus and
+are tables of Spark: texts are written in parts, a pass makes each part's different grams, and their training counts
+are summed. Grams of one context of three symbols stand together, so that all longer contexts are coded there; of
+the shorter ones the 257**3 counts go to all workers. The codes are joined with each part's grams and
+sorted before its texts, so a worker holds the codes of one part only. A gram of up to seven symbols is a number of 64 bits.
 
 The baseline needs every word's count. Words (64-bit hashes) are counted over the corpus in a table; the TOP most
 frequent go to all workers, and only the others' occurrences are joined with the table, so a frequent word is
@@ -32,6 +37,8 @@ from .common import crc_of_id, text_or_empty, written
 A = 257
 EDGE = 256
 TOP = 262_144
+ORDER = 4
+MOST_ORDER = 6  # 257**7 < 2**63
 END = xxhash.xxh3_64_intdigest(b" ") - 2**63  # no word is a blank
 _tables: dict = {}
 
@@ -93,6 +100,74 @@ def code_table(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
+def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of (`order` predecessors, symbol) at all places of all texts, and where each text starts."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(n + order + 1)
+    x = np.full(int(ends[-1]) if len(ends) else 0, EDGE, np.int64)
+    inner = np.repeat(np.arange(len(texts)) * (order + 1) + order, n) + np.arange(int(n.sum()))
+    x[inner] = np.frombuffer(b"".join(texts), np.uint8)
+    places = np.zeros(len(x), np.bool_)
+    places[inner] = places[ends - 1] = True
+    ids = np.zeros(max(0, len(x) - order), np.int64)
+    for k in range(order + 1):
+        ids = ids * A + x[k : k + len(ids)]
+    return ids[places[order:]], np.concatenate([[0], np.cumsum(n + 1)])[:-1]
+
+
+def trie_tables(ids: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """From the trigrams' counts, for contexts of 0, 1 and 2 symbols: ids and counts of the seen grams (in order), and of
+    each context the sum, the different symbols, and the sum that the next shorter context gives to these symbols."""
+    order = np.argsort(ids)
+    keys, n = ids[order].astype(np.int64), counts[order].astype(np.int64)
+    levels = [(keys, n)]
+    for k in (2, 1):
+        keys, where = np.unique(levels[0][0] % A**k, return_inverse=True)
+        levels.insert(0, (keys, np.bincount(where, levels[0][1], len(keys)).astype(np.int64)))
+    out = []
+    for k, (keys, n) in enumerate(levels):
+        below = levels[k - 1][1][np.searchsorted(levels[k - 1][0], keys % A**k)] if k else np.zeros(len(keys))
+        out.append((keys, n, *(np.bincount(keys // A, w, A**k) for w in (n, n > 0, below))))
+    return out
+
+
+def _found(keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Counts of the wanted ids; 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, n[at], 0)
+
+
+def deep_codes(ids: np.ndarray, counts: np.ndarray, order: int, short: list[tuple]) -> np.ndarray:
+    """log10 probability of each gram. ids: different, with training counts (0 as well), all of those that share
+    their last three symbols of context; short: trie_tables."""
+    # per level from the longest: the gram's count, and its context's sum, symbols, and these symbols' sum one level below
+    levels, keys, n, back = [], ids, counts, np.arange(len(ids))
+    for k in range(order, 2, -1):
+        _, own = np.unique(keys // A, return_inverse=True)
+        less, up = np.unique(keys % A**k, return_inverse=True)
+        fewer = np.bincount(up, n, len(less)) if k > 3 else _found(short[2][0], short[2][1], less)
+        t, q, r = (np.bincount(own, w) for w in (n, n > 0, np.where(n > 0, fewer[up], 0)))
+        levels.append((n[back], t[own][back], q[own][back], r[own][back]))
+        keys, n, back = less, fewer, up[back]
+    for k in (2, 1, 0):
+        seen, n, t, q, r = short[k]
+        own = ids % A ** (k + 1)
+        levels.append((_found(seen, n, own), t[own // A], q[own // A], r[own // A]))
+    code, active = np.zeros(len(ids)), np.ones(len(ids), np.bool_)
+    taken_t, taken_q = np.zeros(len(ids)), np.zeros(len(ids))  # what the longer context excludes
+    for n, t, q, r in levels:
+        left, kinds = t - taken_t, q - taken_q
+        hit, escape = active & (n > 0), active & (n == 0) & (t > 0) & (kinds > 0)
+        code[hit] += np.log10(n[hit] / (left + kinds * (q < A))[hit])
+        code[escape] += np.log10(kinds[escape] / (left + kinds)[escape])
+        active &= n == 0
+        taken_t, taken_q = r, q
+    code[active] -= np.log10(max(1, A - len(short[0][0])))
+    return code
+
+
 def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the number of words of each text."""
     words = [t.lower().split() for t in texts]
@@ -134,30 +209,133 @@ def corpus_counts(train: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def scores(docs: DataFrame, held_out: Column, top: int = TOP) -> DataFrame:
+def _part_grams(texts: DataFrame, order: int) -> DataFrame:
+    """part, gram, n: the different grams of each part's texts, and how often its training texts have them."""
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return keys, np.bincount(where, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+
+    def rows(part: int, held: list) -> Iterator[pa.RecordBatch]:
+        keys, n = merged(held)
+        for i in range(0, len(keys), 100_000):
+            own = keys[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, np.int32)), pa.array(own), pa.array(n[i : i + 100_000])], ["part", "gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = -1, []
+        for batch in batches:
+            for few in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                parts, train = few.column(2).to_numpy(), ~few.column(1).to_numpy(zero_copy_only=False)
+                texts = _texts(few.column(0))
+                for own in np.unique(parts):
+                    if own != part and held:
+                        yield from rows(part, held)
+                        held = []
+                    part = int(own)
+                    for kind in (False, True):
+                        keys, n = np.unique(grams([texts[i] for i in np.flatnonzero((parts == own) & (train == kind))], order)[0], return_counts=True)
+                        held.append((keys, n * kind))
+                    if len(held) >= 16:
+                        held = [merged(held)]
+        if held:
+            yield from rows(part, held)
+
+    return texts.select("text", "held_out", "part").mapInArrow(run, "part int, gram long, n long")
+
+
+def _codes(counts: DataFrame, order: int, short) -> DataFrame:
+    """gram, code of counted grams (gram, n); short: trie_tables, broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def coded(last: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[:last]), pa.array(deep_codes(keys[:last], n[:last], order, short.value))], ["gram", "code"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, n = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([n, batch.column(1).to_numpy()])
+            # whole contexts only; the last one may go on
+            context = keys // A % A**3
+            last = int(np.flatnonzero(context != context[-1])[-1]) + 1 if context[0] != context[-1] else 0
+            if last >= 50_000:
+                yield coded(last)
+                keys, n = keys[last:], n[last:]
+        if len(keys):
+            yield coded(len(keys))
+
+    context = F.expr(f"(gram div {A}) % {A**3}")
+    return counts.select("gram", "n", context.alias("context")).repartition("context").sortWithinPartitions("context").select("gram", "n").mapInArrow(run, "gram long, code double")
+
+
+def scores(docs: DataFrame, held_out: Column, top: int = TOP, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Trains on rows not held out."""
+    if not 2 <= order <= MOST_ORDER:
+        raise ValueError(f"contexts of 2 to {MOST_ORDER} symbols")
     spark = docs.sparkSession
     d = docs.select("doc_id", text_or_empty().alias("text"), held_out.alias("held_out"))
+    if order > 2:
+        d = written(d.withColumn("part", F.spark_partition_id()), "lm-texts")
     counts = written(corpus_counts(d.filter(~F.col("held_out"))), "lm-counts")
     words = counts.filter("kind = 0").select(F.col("key").alias("word"), "n")
     v, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     trie = counts.filter("kind = 1").select("key", "n").toArrow()  # 257 ** 3 rows at most
     often = words.orderBy(F.col("n").desc(), "word").limit(top).toArrow().sort_by("word")
-    bound = spark.sparkContext.broadcast((trie["key"].to_numpy().astype(np.int32), trie["n"].to_numpy(), often["word"].to_numpy(), often["n"].to_numpy()))
+    trie_ids, trie_n = trie["key"].to_numpy().astype(np.int32), trie["n"].to_numpy()
+    bound = spark.sparkContext.broadcast((trie_ids, trie_n, often["word"].to_numpy(), often["n"].to_numpy()))
     below = float(np.log10(total + v + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n, known, known_n = bound.value
+    def short_coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Rows of texts, with what codes their places."""
+        ids, n, _, _ = bound.value
         key = (total, v, len(ids), int(n.sum()), int((ids.astype(np.int64) * n).sum()))
         if key not in _tables:
             _tables.clear()
             _tables[key] = code_table(ids, n)
-        table, gain = _tables[key], np.log10(known_n + 1.0)
+        table = _tables[key]
+
+        def code(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids, starts = trigrams(texts)
+            return table[ids].astype(np.float64), starts
+
         for batch in batches:
+            yield batch, code
+
+    def deep_coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """The same; before a part's texts come its codes, in the order of the grams."""
+        now, held, table = None, [], None
+
+        def code(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids, starts = grams(texts, order)
+            return table[1][np.searchsorted(table[0], ids)], starts
+
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            coded = batch.column("gram").is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((parts[1:] != parts[:-1]) | (coded[1:] != coded[:-1])) + 1), len(parts)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                own = batch.slice(a, b - a)
+                if parts[a] != now:
+                    now, held, table = parts[a], [], None
+                if coded[a]:
+                    held.append((own.column("gram").to_numpy(), own.column("code").to_numpy()))
+                else:
+                    if table is None:
+                        table, held = tuple(np.concatenate(x) for x in zip(*held)), []
+                    yield own, code
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, known, known_n = bound.value
+        gain = np.log10(known_n + 1.0)
+        for batch, code in (deep_coded if order > 2 else short_coded)(batches):
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 texts = _texts(part.column(1))
-                grams, starts = trigrams(texts)
-                score = np.add.reduceat(table[grams].astype(np.float64), starts)
+                codes, starts = code(texts)
+                score = np.add.reduceat(codes, starts)
                 h, n_words = _hashes(texts)
                 owner = np.repeat(np.arange(len(texts)), n_words)
                 h, owner = np.concatenate([h, np.full(len(texts), END)]), np.concatenate([owner, np.arange(len(texts))])
@@ -175,6 +353,11 @@ def scores(docs: DataFrame, held_out: Column, top: int = TOP) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rid, rid[owner[rest]]])), pa.array(np.concatenate([rid, h[rest]])), *map(both, head)], ["rid", "word", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if order > 2:
+        used = written(_part_grams(d, order), "lm-grams")
+        codes = _codes(used.groupBy("gram").agg(F.sum("n").alias("n")), order, spark.sparkContext.broadcast(trie_tables(trie_ids, trie_n)))
+        own = used.select("part", "gram").join(written(codes, "lm-codes"), "gram")
+        d = d.unionByName(own, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("gram").asc_nulls_last())
     rows = d.mapInArrow(run, f"rid long, word long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     joined = rows.join(words, "word", "left")
     tail = F.col("n_tokens").isNull()

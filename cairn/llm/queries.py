@@ -54,7 +54,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scores(table(spark, sf_dir, "documents"), lm.is_held_out())
+    return lm.scores(table(spark, sf_dir, "documents"), lm.is_held_out(), order=lm.ORDER)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -332,6 +332,57 @@ def test_scores_against_brute_force(spark):
     assert len(doubled) == 2 and doubled[0] == doubled[1] and lm.scores(docs(spark, []), lm.is_held_out()).count() == 0
 
 
+def long_ppm_by_hand(train, text, order):
+    """log10 probability with contexts of up to `order` symbols, from dictionaries."""
+    counts = {}
+    for t in train:
+        s = [256] * order + [*t, 256]
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+    total, s = 0.0, [256] * order + [*text, 256]
+    for i in range(order, len(s)):
+        excluded, p = set(), 1.0
+        for k in range(order, -1, -1):
+            c = counts.get(tuple(s[i - k : i]), {})
+            own = {x: n for x, n in c.items() if x not in excluded}
+            if s[i] in own:
+                p *= own[s[i]] / (sum(own.values()) + len(own))
+                break
+            if own:
+                p *= len(own) / (sum(own.values()) + len(own))
+            excluded |= set(c)
+        else:
+            p *= 1 / (lm.A - len(counts.get((), ())))
+        total += math.log10(p)
+    return total
+
+
+@pytest.mark.parametrize("order", [3, 4, 6])
+def test_long_contexts_against_brute_force(spark, order):
+    texts = ["the cat sat on the mat", "The dog sat", "zebra quux the", *AWKWARD[:8], "the cat ran and ran", "the the", "dog cat", "held out words here", "more of the same cat", "x", "the cat sat on the mat again", "a cat that sat"]
+    own = [(t or "").encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = {r["doc_id"]: r for r in lm.scores(docs(spark, texts).repartition(3), lm.is_held_out(), order=order).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        assert rows[i]["score"] == pytest.approx(long_ppm_by_hand(own, (t or "").encode(), order), rel=1e-6)
+    short = {r["doc_id"]: r for r in lm.scores(docs(spark, texts), lm.is_held_out()).collect()}
+    assert all(rows[i]["base_score"] == pytest.approx(short[i]["base_score"]) and rows[i][:5] == short[i][:5] for i in rows)
+    doubled = lm.scores(docs(spark, ["a b", "a b"], ids=[4, 4]), lm.is_held_out(), order=order).collect()
+    assert len(doubled) == 2 and doubled[0] == doubled[1] and lm.scores(docs(spark, []), lm.is_held_out(), order=order).count() == 0
+
+
+def test_the_query_uses_long_contexts(tmp_path, spark):
+    """Words of more than a trigram count: in two corpora of the same trigrams the longer context tells."""
+    from cairn.llm.queries import op8_ppm_scores
+
+    texts = [" - ".join(["xabcy", "zabcw"] * 30 + ["q"])] * 8 + ["xabcy - zabcw - q", "xabcw - zabcy - q"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r["score"] for r in op8_ppm_scores(spark, str(tmp_path)).collect()}
+    short = {r["doc_id"]: r["score"] for r in lm.scores(docs(spark, texts), lm.is_held_out(), order=2).collect()}
+    assert rows[8] - rows[9] > 1 > abs(short[8] - short[9])
+
+
 # ---- toxicity
 
 
