@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -60,7 +63,7 @@ def choose(with_base: Column, n_missing: Column) -> Column:
 
 
 def plan(wanted: DataFrame, base: DataFrame, present: DataFrame, most_chunks: int = MOST_CHUNKS, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Per pair the requests to send: aligned chunks (J10), less what is present (J13), packed (W07), each
+    """G12 with one base (extended_plan takes several and fills the base side): per pair the requests to send: aligned chunks (J10), less what is present (J13), packed (W07), each
     with the base chunks that stand beside its own and are present themselves, and how it is sent."""
     a = aligned(wanted, base)
     here = present.select(F.col("digest").alias("base_digest"), F.lit(True).alias("base_here")).distinct()
@@ -72,6 +75,83 @@ def plan(wanted: DataFrame, base: DataFrame, present: DataFrame, most_chunks: in
     return out.withColumn("how", choose(F.col("base_chunks") > 0, F.col("chunks")))
 
 
+def extended(sources: list[tuple], target: object, most_chunks: int, most_bytes: int, most_sources: int, most_ops: int) -> list[tuple]:
+    """G12 of one wanted chunk: (request, source, side, digest, size) in the order of picking. sources, newest first: (name,
+    wanted, base), each side an image's chunks in order as (path, digest, size, present)."""
+    out, using, left = [], set(), most_sources
+    ops = [{"wanted": [0, 0], "base": [0, 0]}]  # chunks, bytes
+    room = lambda side: ops[-1][side][0] < most_chunks and ops[-1][side][1] < most_bytes
+    full = lambda side: len(ops) >= most_ops and not room(side)
+
+    def add(side: str, source: object, digest: object, size: int) -> None:
+        using.add(digest)
+        ops[-1][side][0] += 1
+        ops[-1][side][1] += size
+        out.append((len(ops) - 1, source, side, digest, size))
+
+    def extend(source: object, wanted: list[tuple], base: list[tuple]) -> bool:
+        i = next((k for k, c in enumerate(wanted) if c[1] == target), None)
+        if i is None:
+            return False
+        path, before = wanted[i][0], len(out)
+        first = {side: next((k for k, c in enumerate(chunks) if c[0] == path), None) for side, chunks in (("wanted", wanted), ("base", base))}
+        j = i if first["base"] is None else first["base"] + i - first["wanted"]
+        while True:
+            if i < len(wanted) and not full("wanted"):
+                _, digest, size, present = wanted[i]
+                if digest not in using and not present:
+                    if not room("wanted"):
+                        ops.append({"wanted": [0, 0], "base": [0, 0]})
+                    add("wanted", source, digest, size)
+            # the base only fills the current request
+            if j < len(base) and room("base"):
+                _, digest, size, present = base[j]
+                if digest not in using and present:
+                    add("base", source, digest, size)
+            if (j >= len(base) or full("base")) and (i >= len(wanted) or full("wanted")):
+                break
+            i, j = i + 1, j + 1
+            if i < len(wanted) and wanted[i][0] != path:
+                path = wanted[i][0]
+                if len(ops) > 1:  # more than one request is for a file that is read on
+                    break
+        return len(out) > before
+
+    for source, wanted, base in sources:
+        if base:
+            left -= extend(source, wanted, base)
+            if not left or full("base") and full("wanted"):
+                break
+    if not ops[-1]["wanted"][0] and sources:
+        extend(sources[0][0], sources[0][1], [])
+    return out
+
+
+def extended_plan(chunks: DataFrame, targets: DataFrame, present: DataFrame, most_chunks: int = MOST_CHUNKS, most_bytes: int = MOST_BYTES, most_sources: int = MOST_SOURCES, most_ops: int = 1) -> DataFrame:
+    """G12 with several sources: key, request, source, side, digest, size of what is sent for the targets (key, digest), one a key.
+    chunks: key, source (the greater the newer), side (wanted or base), ordinal, path, digest, size. Picks depend on one another, so a key's
+    few images are gone through in one place; keys are independent. most_ops: as many as reads in succession ask for, up to MOST_OPS."""
+    schema = chunks.schema
+    kinds = {c: schema[c].dataType.simpleString() for c in ("key", "source", "digest")}
+    most_ops = min(most_ops, MOST_OPS)
+
+    def run(group: pa.Table) -> pa.Table:
+        images: dict = defaultdict(lambda: {"wanted": [], "base": []})
+        for r in group.sort_by("ordinal").to_pylist():
+            images[r["source"]][r["side"]].append((r["path"], r["digest"], r["size"], r["here"]))
+        sources = [(s, images[s]["wanted"], images[s]["base"]) for s in sorted(images, reverse=True)]
+        key, target = group["key"][0].as_py(), group["target"][0].as_py()
+        picked = extended(sources, target, most_chunks, most_bytes, most_sources, most_ops)
+        columns = [[key] * len(picked), *([p[k] for p in picked] for k in range(5))]
+        types = [group["key"].type, pa.int32(), group["source"].type, pa.string(), group["digest"].type, pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["key", "request", "source", "side", "digest", "size"])
+
+    here = present.select("digest", F.lit(True).alias("here")).distinct()
+    d = chunks.join(targets.select("key", F.col("digest").alias("target")), "key").join(here, "digest", "left").withColumn("here", F.coalesce("here", F.lit(False)))
+    d = d.select("key", "source", "side", "ordinal", "path", "digest", F.col("size").cast("long").alias("size"), "here", "target")
+    return d.groupBy("key").applyInArrow(run, f"key {kinds['key']}, request int, source {kinds['source']}, side string, digest {kinds['digest']}, size long")
+
+
 def recompressible(files: DataFrame, most_chunks: int = MOST_CHUNKS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Compressed files that are compared whole: both sides fit one request, and the base is all present.
     files: path, chunks, bytes, base_chunks, base_bytes, base_present."""

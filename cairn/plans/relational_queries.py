@@ -322,6 +322,18 @@ def g12(spark, d):
     return planning.plan(wanted, base, present, most_chunks=3, most_bytes=60)
 
 
+@query("G12_plan_sources")
+def g12_sources(spark, d):
+    """Up to three versions of an image as sources of its first chunk's requests."""
+    wanted, base = sides(spark, d)
+    versions = F.explode(F.array(*map(F.lit, range(5)))).alias("source")
+    both = wanted.withColumn("side", F.lit("wanted")).unionByName(base.withColumn("side", F.lit("base")))
+    both = both.select("*", versions).filter("ordinal = 0 or (ordinal + source) % 5 > 0").withColumnRenamed("pair", "key")
+    targets = wanted.filter("ordinal = 0 and digest % 3 > 0").select(F.col("pair").alias("key"), "digest")
+    present = wanted.select("digest").union(base.select("digest")).filter("digest % 3 = 0")
+    return planning.extended_plan(both, targets, present, most_chunks=3, most_bytes=60, most_ops=2)
+
+
 @query("J11_blank_component", "SELECT p_partkey, '/lib/modules/*/kernel/' || p_partkey AS path FROM part")
 def j11(spark, d):
     s = F.col("p_partkey").cast("string")

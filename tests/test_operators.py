@@ -13,6 +13,30 @@ from cairn.streaming import events as ev
 SF = "/root/testdata/sf0.001"
 
 
+def test_plan_of_several_sources(spark):
+    """Newest sources first, three at most; the base fills the current request only, within its limits."""
+    image = lambda names, path="/f", size=1: [(path, n, size, n[0] == "b") for n in names.split()]
+    picks = lambda sources, *most: [(p[1], p[0], p[3]) for p in planning.extended(sources, "t", *most)]
+    four = [(s, image(f"t w{s}"), image(f"b{s} b{s}x")) for s in (4, 3, 2, 1)]
+    assert picks(four, 9, 99, 3, 1) == [(4, 0, "t"), (4, 0, "b4"), (4, 0, "w4"), (4, 0, "b4x"), (3, 0, "b3"), (3, 0, "w3"), (3, 0, "b3x"), (2, 0, "b2"), (2, 0, "w2"), (2, 0, "b2x")]
+    # a full request: chunks, then bytes of the base; present base chunks behind the wanted image's end count as well
+    assert picks(four, 3, 99, 3, 1) == [(4, 0, "t"), (4, 0, "b4"), (4, 0, "w4"), (4, 0, "b4x"), (3, 0, "b3"), (3, 0, "w3")]
+    large = [(1, image("t w"), image("b1 b2 b3 b4", size=50))]
+    assert picks(large, 9, 60, 3, 1) == [(1, 0, "t"), (1, 0, "b1"), (1, 0, "w"), (1, 0, "b2")]
+    assert picks([(1, image("b0 t"), image("x b1 b2 b3"))], 9, 99, 3, 1) == [(1, 0, "t"), (1, 0, "b1"), (1, 0, "b2"), (1, 0, "b3")]
+    # a second request, that ends with the file; a base beside a present wanted chunk
+    two = [(1, image("t b9 w1 w2") + image("w3", "/g"), image("b1 b2"))]
+    assert picks(two, 2, 99, 3, 2) == [(1, 0, "t"), (1, 0, "b1"), (1, 0, "b2"), (1, 0, "w1"), (1, 1, "w2")]
+    # without a base the newest is read against nothing; a source without the chunk is passed over
+    assert picks([(2, image("t w2"), []), (1, image("t w1"), [])], 9, 99, 3, 1) == [(2, 0, "t"), (2, 0, "w2")]
+    assert picks([(2, image("u"), image("b2")), (1, image("t"), image("b1"))], 9, 99, 3, 1) == [(1, 0, "t"), (1, 0, "b1")]
+    rows = [(7, s, side, k, path, n, size) for s, *images in four for side, chunks_ in zip(("wanted", "base"), images) for k, (path, n, size, _) in enumerate(chunks_)]
+    c = spark.createDataFrame(rows, "key long, source int, side string, ordinal int, path string, digest string, size int")
+    present = c.filter("digest like 'b%'").select("digest")
+    got = planning.extended_plan(c, spark.createDataFrame([(7, "t")], "key long, digest string"), present, 9, 99).collect()
+    assert [(r["source"], r["request"], r["digest"]) for r in got] == picks(four, 9, 99, 3, 1)
+
+
 def test_digest_walk(spark):
     """Entries with and without digests; sizes of last pieces; a shift of 0 means the default."""
     s = 1 << 16
