@@ -29,6 +29,13 @@ def k15(spark, d):
     return spark.table("memory_store")
 
 
+@query("K15_memory_store_all")
+def k15_all(spark, d):
+    """K15 with all chunks in the store."""
+    chunks(spark, d).groupBy("digest").agg(F.max("chunk_size").alias("chunk_size")).createOrReplaceTempView("memory_store_all")
+    return spark.table("memory_store_all")
+
+
 @query("F22_keep_list", f"WITH {CATALOG} SELECT name, 'root' AS list, count(*) AS n FROM catalog GROUP BY 1 UNION ALL SELECT name, 'build', count(*) FROM catalog WHERE name NOT LIKE '%red%' GROUP BY 1")
 def f22(spark, d):
     """The root keeps everything; what is built leaves some packages out."""

@@ -281,12 +281,22 @@ def k09(spark, d):
 
 @query("J16_closure", "WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 3 = 0 AND p_partkey > 2), c AS (SELECT p_partkey AS start, p_partkey AS node FROM part WHERE p_partkey % 100 = 99 UNION SELECT start, dst FROM c JOIN e ON node = src) SELECT start, node FROM c")
 def j16(spark, d):
+    return part_closure(spark, d, "src % 100 = 99")
+
+
+@query("J16_closure_all")
+def j16_all(spark, d):
+    """J16 from all parts."""
+    return part_closure(spark, d, "true")
+
+
+def part_closure(spark, d, starts):
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
     p = table(spark, d, "part").select(F.col("p_partkey").alias("src"))
     edges = p.filter("src > 1").select("src", F.floor(F.col("src") / 2).alias("dst")).union(p.filter("src % 3 = 0 and src > 2").select("src", F.floor(F.col("src") / 3).alias("dst"))).distinct()
-    return gc.closure(edges, p.filter("src % 100 = 99").select(F.col("src").alias("node")))
+    return gc.closure(edges, p.filter(starts).select(F.col("src").alias("node")))
 
 
 _ALIGNED = """b AS (SELECT 0 AS x), w AS (SELECT l_orderkey // 2 AS pair, l_orderkey % 2 AS side, CASE WHEN l_returnflag = 'N' THEN 'n' || l_orderkey % 4 ELSE l_returnflag END AS path, l_partkey * 1000000 + l_suppkey AS digest, max(l_quantity::INT)::BIGINT AS size FROM lineitem GROUP BY ALL),

@@ -37,6 +37,29 @@ def test_plan_of_several_sources(spark):
     assert [(r["source"], r["request"], r["digest"]) for r in got] == picks(four, 9, 99, 3, 1)
 
 
+def test_closure_and_store_of_all_rows(spark):
+    """J16 from every part and K15 with every chunk, against brute force."""
+    from cairn.plans import QUERIES
+
+    parts = {r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()}
+    want = set()
+    for start in parts:
+        todo, seen = [start], set()
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += ([n // 2] if n > 1 else []) + ([n // 3] if n % 3 == 0 and n > 2 else []) if n in parts else []
+        want |= {(start, n) for n in seen}
+    got = [tuple(r) for r in QUERIES["J16_closure_all"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+    sizes = {}
+    for r in chunks(spark, SF).select("digest", "chunk_size").collect():
+        sizes[r[0]] = max(r[1], sizes.get(r[0], 0))
+    store = [tuple(r) for r in QUERIES["K15_memory_store_all"](spark, SF).collect()]
+    assert len(store) == len(sizes) and dict(store) == sizes
+
+
 def test_digest_walk(spark):
     """Entries with and without digests; sizes of last pieces; a shift of 0 means the default."""
     s = 1 << 16
