@@ -2,27 +2,28 @@
 
 1. One pass makes, per document, its set of word shingles (hashed to 64 bits), a 128-bit digest of the set,
    the minima of 160 universal hashes, and 32 band keys of 5 minima each. At similarity 0.8 a pair shares no
-   band with probability (1 - 0.8**5)**32 = 3e-6.
+   band with probability (1 - 0.8**5)**32 = 3e-6. Of each minimum one byte is kept for the verification.
 2. Documents of equal sets are one class; only classes go on, so a group of copies costs one row a band.
-3. Buckets (classes that share a band) are worked off in rounds. Where one is crowded (many members, many
-   components), shingles that only one of all members of such buckets has are counted: they bound what a pair of
-   such members can have in common, so most of their pairs just under the threshold are never made, and no link is lost
-   by it, as the bound is not used against members of other buckets only. In a round each bucket compares a few
-   centres (1, then 8, 64, ...: its least member and others by hash) with its members of other components, never
-   all with all; pairs that the full signatures put under `est_least` are dropped (0.8 lies six deviations
-   above), the others are confirmed on their whole sets, and the confirmed links' components come from alternating
-   large-star and small-star. A bucket whose members are all in one component is done: further links in it
-   change nothing. In the others the centres, now compared with all, leave, and the next round follows; a bucket
-   with at most `pairs_per_row` pairs a member across components has these compared at once. So it ends when no
-   pair that shares a bucket and lies across components is unseen.
-
-The set of a text is its distinct shingles of `width` words, A-Z lower-cased; with fewer words, the
+3. Buckets are classes that share a band. In one of at most SMALL members all pairs' signatures are compared in a stream over
+   sorted buckets, and only pairs that agree in `est_least` of their places (0.8 lies six deviations above) and
+   whose sizes allow the similarity are written. A larger bucket makes no pairs: its members are tied to its least.
+   The components of both kinds of ties are groups: a pair that shares a band and can be linked is in one group.
+4. A group's whole sets are compared where they are together, in tasks of bounded size: a small group is one task; a
+   large one is cut by size into classes of which only neighbours can reach the similarity, a class by hash into
+   blocks of at most BLOCK_ROWS sets and BLOCK_ITEMS shingles, and each two blocks of equal or neighbouring classes are a task.
+   A task compares signatures, counts the common shingles of the rest by matrix products, and writes links
+   only from each of its own components' least member to the others: fewer than it has sets, never its pairs.
+5. Components of the links come from alternating large-star and small-star.
+
+Every pair that shares a band is compared, so tasks over a group grow with the square of its blocks; what is moved or
+written of a pair does not. The set of a text is its distinct shingles of `width` words, A-Z lower-cased; with fewer words, the
 whole sequence as one; without words (or null), empty: no links. Rows that repeat stay rows. A null id
 never becomes a component's name unless all its ids are null. Empty table: empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, small_batches, tidied
 
 BANDS, ROWS = 32, 5
 N_HASHES = BANDS * ROWS
+SMALL = 33  # members of a bucket whose pairs are looked at one by one: 16 a member
+BLOCK_ROWS, BLOCK_ITEMS = 512, 500_000
+CHUNK = 4096  # shingles of one matrix product
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = (_rng.integers(0, 2**63, N_HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 OFFSETS = _rng.integers(0, 2**63, N_HASHES, dtype=np.uint64)
@@ -63,200 +67,287 @@ def minima(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set), sig (160 x 4 bytes), bands."""
+    """doc_id, n_shingles, node (digest of the set), sig (a byte of each minimum), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 n, nodes, sigs, bands = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingle_set(text, width)
+                for text in part.column(1):
+                    s = shingle_set(text.as_py(), width)
                     n.append(len(s))
                     if not len(s):
                         nodes.append(None), sigs.append(None), bands.append([])
                         continue
                     m = minima(s)
                     nodes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    sigs.append(m.tobytes())
+                    sigs.append(m.astype(np.uint8).tobytes())
                     bands.append([xxhash.xxh3_64_intdigest(m[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - 2**63 for k in range(BANDS)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), "doc_id long, n_shingles long, node binary, sig binary, bands array<long>")
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, est_least: float) -> DataFrame:
-    """Of the pairs (a, b) of nodes, those whose signatures agree in est_least of their places."""
+def _bytes(column: pa.Array) -> np.ndarray:
+    """Rows of signatures."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, N_HASHES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, N_HASHES) for c in ("sig_a", "sig_b"))
-                keep = pa.array((x == y).mean(axis=1) >= est_least)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    d = pairs.join(classes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(classes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return d.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+def _sizes_fit(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs, those with 100 * intersection >= percent * union on their whole sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
-        for batch in batches:
-            keep = []
-            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b"))):
-                if a != last[0]:
-                    last = (a, shingle_set(x, width))
-                s, t = last[1], shingle_set(y, width)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, which stand together."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = batch.column(key)
+        if not batch.num_rows:
+            continue
+        codes = keys.dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            k = keys[int(a)].as_py()
+            if held and k != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = k
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    d = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return d.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
+def _agreeing(members: DataFrame, percent: int, est_least: float) -> DataFrame:
+    """Pairs (a, b) of each small bucket of members (band, node, n, sig) that can be linked by size and signature."""
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = [], []
+        for bucket in _runs(batches, "band"):
+            if len(bucket) < 2:
+                continue
+            nodes, n = bucket.column("node").to_pylist(), bucket.column("n").to_numpy()
+            sigs = _bytes(bucket.column("sig"))
+            i, j = np.triu_indices(len(nodes), 1)
+            fit = _sizes_fit(n[i], n[j], percent)
+            i, j = i[fit], j[fit]
+            same = sigs[i] == sigs[j]
+            keep = same.mean(axis=1) >= est_least
+            for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+                a, b = sorted((nodes[x], nodes[y]))
+                left.append(a), right.append(b)
+            if len(left) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+                left, right = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    sorted_members = members.select("band", "node", "n", "sig").repartition("band").sortWithinPartitions("band")
+    return sorted_members.mapInArrow(tidied(run), "a binary, b binary").distinct()
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each node has one parent (u -> v) or is one, but not both."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty()
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of undirected edges (a, b): node, comp (the least node of its component), for
     every node with an edge. Large-star links a node's greater neighbours with its least neighbour,
-    small-star its smaller ones; both keep components, and at their fixed point each node hangs on the least."""
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
-    before = None
-    for _ in range(max_rounds):
+    small-star its smaller ones; both keep components, and at their fixed point each node hangs on the least.
+    Rounds go on until that is so (about the logarithm of the longest path); a round's tables go with it."""
+    edges = scratch.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
+    while not _is_star_forest(edges):
         both = edges.union(edges.select("v", "u"))
         # a hub's rows meet their least neighbour in a join that can be split, not in one group
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "cc-least")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "cc-large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        least = scratch.written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "cc-least")
+        large = scratch.written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "cc-large")
+        scratch.drop(edges, least)
+        least = scratch.written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").select(F.col("v").alias("x"), "m").filter("x <> m").union(least.select("u", "m"))
-        after = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "cc")
-        edges, now = after, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+        edges = scratch.written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "cc")
+        scratch.drop(large, least)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, est_least: float = 0.6, pairs_per_row: int = 16) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable), kept; one row per row of docs."""
-    sigs = written(signatures(docs, width), "minhash")
-    rows = sigs.filter("node is not null").select("node", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node"]).select("node", "n", F.explode("bands").alias("band"))
-    # written first: a join with it can then be split where a bucket is large
-    counts = written(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "bands")
-    buckets = written(rows.join(counts, "band", "left_semi"), "buckets")
-    if buckets.isEmpty():
-        comp = None
-    else:
-        members = buckets.select("node").distinct()
-        members = written(members, "members")
-        own_sigs = written(sigs.select("node", "sig").join(members, "node", "left_semi").dropDuplicates(["node"]), "member-sigs")
-        # texts only of classes in a bucket; signatures of other rows are not looked at again
-        ids = written(sigs.filter("node is not null").select("doc_id", "node").join(members, "node", "left_semi").groupBy("node").agg(F.max("doc_id").alias("doc_id")), "member-ids")
-        comp = _linked(docs, buckets, own_sigs, ids, width, percent, est_least, pairs_per_row)
-    nodes = sigs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    if comp is not None:
-        nodes = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        nodes = nodes.withColumn("comp", F.col("node"))
-    nodes = written(nodes, "minhash-nodes")
-    names = written(nodes.groupBy("comp").agg(F.min("least").alias("component_id")), "minhash-least")
-    named = written(nodes.join(names, "comp").select("node", "component_id"), "minhash-names")
-    out = sigs.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+def _tasks(grouped: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """grouped (node, n, comp, and others) with `tasks`: an array of (key, side) of the tasks that want the node's set."""
+    # a class wider than the similarity by a hair, so that rounding parts no two that can be linked
+    width = math.log(100 / percent) * (1 + 1e-9)
+    grouped = grouped.withColumn("c_", F.floor(F.log("n") / width).cast("int"))
+    sizes = grouped.groupBy("comp", "c_").agg(F.count("*").alias("rows_"), F.sum("n").alias("items_"))
+    totals = sizes.groupBy("comp").agg(((F.sum("rows_") > BLOCK_ROWS) | (F.sum("items_") > BLOCK_ITEMS)).alias("big_"))
+    k = F.greatest(F.ceil(F.col("rows_") / BLOCK_ROWS), F.ceil(F.col("items_") / BLOCK_ITEMS)).cast("int")
+    blocks = scratch.written(sizes.join(totals, "comp").select("comp", "c_", "big_", F.when(F.col("big_"), k).otherwise(1).alias("k_")), "blocks")
 
+    def beside(step: int, name: str) -> DataFrame:
+        return blocks.filter("big_").select("comp", (F.col("c_") + step).alias("c_"), F.col("k_").alias(name))
 
-def _linked(docs: DataFrame, buckets: DataFrame, sigs: DataFrame, ids: DataFrame, width: int, percent: int, est_least: float, pairs_per_row: int) -> DataFrame | None:
-    """node, comp of all nodes with a confirmed link (see the module's text); None if there is none."""
-    texts = links = seen = comp = shared = None
-    # e: how many of its n shingles a node of crowded buckets can share with others of such at most; null for other nodes
-    left, n_centres = buckets.withColumn("e", F.lit(None).cast("long")).withColumn("comp", F.col("node")), 1
-    while True:
-        sizes = left.groupBy("band", "comp").agg(F.count("*").alias("m"))
-        stats = sizes.groupBy("band").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.count("*").alias("k")).filter("k > 1")
-        first = left.groupBy("band").agg(F.min("node").alias("first"))
-        stats = stats.join(first, "band").withColumn("few", (F.col("all") * F.col("all") - F.col("sq")) / 2 <= F.lit(pairs_per_row) * F.col("all"))
-        stats = written(stats.select("band", "all", "few", "first"), "bucket-stats")
-        if stats.isEmpty():
-            return comp
-        left = left.join(stats, "band")
-        if shared is None and not stats.filter("not few").isEmpty():
-            if texts is None:
-                texts = written(_texts(docs, ids, width), "member-texts")
-            shared = written(_shared(texts, written(left.filter("not few").select("node").distinct(), "crowded"), width), "shared")
-            left = left.drop("e").join(shared.withColumnRenamed("shared", "e"), "node", "left")
-            # what can share too little with any other in crowded buckets has no link to find there; in the others
-            # it may meet nodes that were not counted, so it stays
-            left = left.filter(F.col("few") | (100 * F.col("e") >= percent * F.col("n")))
-        picked = F.col("few") | (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", "band"), F.col("all")) < n_centres)
-        left = written(left.select("band", "node", "n", "e", "comp", picked.alias("centre")), "left")
-        centres = left.filter("centre").select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("e").alias("e_a"), F.col("comp").alias("comp_a"))
-        # the bound holds only where both were counted
-        both = "if(e is null or e_a is null, least(n, n_a), least(e, e_a))"
-        possible = f"100 * {both} >= {percent} * (n + n_a - {both})"
-        pairs = left.join(centres, "band").filter(f"comp <> comp_a and (not centre or a < node) and {possible}")
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        agreeing = written(_agreeing(pairs, sigs, est_least), "agreeing")
-        if not agreeing.isEmpty():
-            if texts is None:
-                texts = written(_texts(docs, ids, width), "member-texts")
-            found = written(_confirmed(agreeing, texts, width, percent), "links")
-            links = found if links is None else links.union(found)
-            if not found.isEmpty():
-                comp = written(components(links), "comp")
-        seen = pairs if seen is None else seen.union(pairs)
-        left, n_centres = left.filter("not centre").select("band", "node", "n", "e"), n_centres * 8
-        if comp is not None:
-            left = left.join(comp, "node", "left").select("band", "node", "n", "e", F.coalesce("comp", "node").alias("comp"))
-        else:
-            left = left.withColumn("comp", F.col("node"))
-        left = written(left, "left")
-
-
-def _shared(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, shared: how many of a node's shingles stand in another of the nodes too. The others are its own alone,
-    so no pair has more than the lesser of both in common: an exact bound before any pair is made."""
+    blocks = scratch.written(blocks.join(beside(-1, "above_"), ["comp", "c_"], "left").join(beside(1, "below_"), ["comp", "c_"], "left"), "beside")
+    d = grouped.join(blocks, ["comp", "c_"]).withColumn("c_", F.when(F.col("big_"), F.col("c_")).otherwise(0)).withColumn("i_", F.pmod(F.xxhash64("node"), F.col("k_")).cast("int"))
+
+    def with_blocks(count: str, key, side):
+        n = F.coalesce(F.col(count), F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda j: F.struct(key(j).alias("key"), side(j).cast("byte").alias("side")))).otherwise(F.array().cast("array<struct<key:string,side:tinyint>>"))
+
+    def key(c, i, e, j):
+        return F.concat_ws(":", F.hex("comp"), c, i, e, j)
+
+    c, i = F.col("c_"), F.col("i_")
+    same = with_blocks("k_", lambda j: key(c, F.least(i, j), c, F.greatest(i, j)), lambda j: F.when(j == i, 2).when(i < j, 0).otherwise(1))
+    above = with_blocks("above_", lambda j: key(c, i, c + 1, j), lambda j: F.lit(0))
+    below = with_blocks("below_", lambda j: key(c - 1, j, c, i), lambda j: F.lit(1))
+    return d.withColumn("tasks", F.concat(same, above, below)).drop("c_", "k_", "i_", "big_", "above_", "below_")
+
+
+def _with_sets(docs: DataFrame, tasks: DataFrame, width: int) -> DataFrame:
+    """key, side, node, sig, items (the sorted hashes): the set of one document of each class, for each task that wants it. The
+    digest is made anew, so another text under the same id does no harm; a repeated row counts once a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for batch in batches:
-            for node, text in zip(batch.column(0), batch.column(1)):
-                s = shingle_set(text.as_py(), width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([node.as_py()] * len(s), pa.binary())], ["s", "node"])
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                keep, items = [], []
+                for node, text in zip(part.column(0).to_pylist(), part.column(3)):
+                    keep.append(node not in done and xxhash.xxh3_128_digest((s := shingle_set(text.as_py(), width)).tobytes()) == node)
+                    if keep[-1]:
+                        done.add(node)
+                        items.append(s.tobytes())
+                own = part.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(items, pa.large_binary()).cast(pa.binary())], ["node", "sig", "tasks", "items"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("d_"), "text").join(tasks, F.col("d_").eqNullSafe(F.col("doc_id")))
+    kind = "array<struct<key:string,side:tinyint>>"
+    sets = d.select("node", "sig", F.col("tasks").cast(kind), "text").mapInArrow(tidied(run), f"node binary, sig binary, tasks {kind}, items binary")
+    return sets.select("node", "sig", "items", F.explode("tasks").alias("t_")).select("t_.key", "t_.side", "node", "sig", "items")
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
+    """How many items each set of x shares with each of y (None: of x itself)."""
+    sets = x if y is None else x + y
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    shared = np.flatnonzero(counts > 1)
+    place = np.full(len(counts), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[where]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    m, total = len(x), np.zeros((len(x), len(sets) if y is None else len(y)), np.float32)
+    for first in range(0, len(shared), CHUNK):
+        a, b = np.searchsorted(column, [first, first + CHUNK])
+        held = np.zeros((len(sets), min(CHUNK, len(shared) - first)), np.float32)
+        held[owner[a:b], column[a:b] - first] = 1
+        total += held[:m] @ (held if y is None else held[m:]).T
+    return total.astype(np.int64)  # float32 counts exactly to 2**24, and linked() sends no larger sets here
+
+
+def linked(x: list, y: list | None, percent: int, est_least: float) -> list[tuple[bytes, bytes]]:
+    """Links of the task: (least, other) of each component of more than one node. x, y: (node, signature, items); y
+    None: pairs inside x."""
+    other = x if y is None else y
+    if not x or not other:
+        return []
+    sx, sy = (np.stack([r[1] for r in z]) for z in (x, other))
+    nx, ny = (np.array([len(r[2]) for r in z]) for z in (x, other))
+    near = np.stack([(sy == s).mean(axis=1) >= est_least for s in sx]) & _sizes_fit(nx[:, None], ny, percent)
+    if y is None:
+        near &= np.arange(len(x))[:, None] < np.arange(len(x))
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return []
+    if len(rows) * len(columns) <= 4 or max(nx.max(), ny.max()) >= 1 << 24:
+        found = [(i, j) for i, j in zip(*np.nonzero(near)) if 100 * (both := len(np.intersect1d(x[i][2], other[j][2], assume_unique=True))) >= percent * (nx[i] + ny[j] - both)]
+    else:
+        both = common_counts([x[i][2] for i in rows], [other[j][2] for j in columns])
+        fits = near[np.ix_(rows, columns)] & (100 * both >= percent * (nx[rows][:, None] + ny[columns] - both))
+        found = [(rows[i], columns[j]) for i, j in zip(*np.nonzero(fits))]
+    up: dict[bytes, bytes] = {}
+
+    def least(n: bytes) -> bytes:
+        while (m := up.get(n, n)) != n:
+            up[n] = up.get(m, m)
+            n = m
+        return n
 
-    rows = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "s long, node binary")
-    own = rows.groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = rows.groupBy("node").agg(F.count("*").alias("all"))
-    return sizes.join(own, "node", "left").select("node", (F.col("all") - F.coalesce("own", F.lit(0))).alias("shared"))
+    for i, j in found:
+        a, b = sorted((least(x[i][0]), least(other[j][0])))
+        if a != b:
+            up[b] = a
+    return [(least(n), n) for n in up if least(n) != n]
 
 
-def _texts(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """node, text of one document of each class; the digest is made anew, so a repeated id does no harm."""
+def _links(sets: DataFrame, percent: int, est_least: float) -> DataFrame:
+    """Links (a, b) from all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = [xxhash.xxh3_128_digest(shingle_set(t, width).tobytes()) for t in batch.column(0).to_pylist()]
-            keep = pa.array([x == y for x, y in zip(nodes, batch.column(1).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()).filter(keep), batch.column(0).filter(keep)], ["node", "text"])
+        for task in _runs(batches, "key"):
+            sides: dict[int, dict[bytes, tuple]] = {0: {}, 1: {}, 2: {}}
+            for side, node, sig, items in zip(task.column("side").to_pylist(), task.column("node").to_pylist(), task.column("sig").to_pylist(), task.column("items")):
+                sides[side][node] = (node, np.frombuffer(sig, np.uint8), np.frombuffer(items.as_buffer(), np.uint64))
+            if sides[2]:
+                links = linked(list(sides[2].values()), None, percent, est_least)
+            else:
+                links = linked(list(sides[0].values()), list(sides[1].values()), percent, est_least)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links)], ["a", "b"])
+
+    return sets.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(run), "a binary, b binary")
 
-    d = docs.select(F.col("doc_id").cast("long").alias("d_"), "text").join(ids, F.col("d_").eqNullSafe(F.col("doc_id")))
-    return d.select("text", "node").mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
+
+def _linked(docs: DataFrame, classes: DataFrame, width: int, percent: int, est_least: float, scratch: Scratch) -> DataFrame | None:
+    """node, comp of all nodes with a confirmed link (see the module's text); None if there is none."""
+    rows = classes.select("node", F.explode("bands").alias("band"))
+    # written first: a join with it can then be split where a bucket is large
+    counts = scratch.written(rows.groupBy("band").agg(F.count("*").alias("m"), F.min("node").alias("first")).filter("m > 1"), "bands")
+    buckets = scratch.written(rows.join(counts, "band"), "buckets")
+    scratch.drop(counts)
+    crowded = buckets.filter(F.col("m") > SMALL).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    small = buckets.filter(F.col("m") <= SMALL).select("band", "node").join(classes.select("node", "n", "sig"), "node")
+    ties = scratch.written(_agreeing(small, percent, est_least).union(crowded), "ties")
+    scratch.drop(buckets)
+    if ties.isEmpty():
+        return None
+    grouped = scratch.written(components(ties, scratch).join(classes.select("node", "n", "sig", "doc_id"), "node"), "grouped")
+    scratch.drop(ties)
+    links = scratch.written(_links(_with_sets(docs, _tasks(grouped, percent, scratch), width), percent, est_least), "links")
+    scratch.drop(grouped)
+    return None if links.isEmpty() else components(links, scratch)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, est_least: float = 0.6) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable), kept; one row per row of docs."""
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    sigs = scratch.written(signatures(docs, width), "minhash")
+    with_set = sigs.filter("node is not null")
+    # one row a class; equal sets have equal signatures, so any row's will do
+    classes = with_set.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = scratch.written(classes, "classes")
+    comp = _linked(docs, classes, width, percent, est_least, scratch)
+    named = classes.select("node", F.col("least").alias("component_id"))
+    if comp is not None:
+        linked_ = scratch.written(comp.join(classes.select("node", "least"), "node"), "linked")
+        least = scratch.written(linked_.groupBy("comp").agg(F.min("least").alias("least")), "least")
+        names = linked_.drop("least").join(least, "comp").select("node", F.col("least").alias("name_"))
+        named = named.join(names, "node", "left").select("node", F.coalesce("name_", "component_id").alias("component_id"))
+    # written, so that the join with a class of very many copies can be split
+    named = scratch.written(named, "names")
+    out = sigs.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows of other ids than the least of each group of near-duplicates."""
+    """docs without the rows of other ids than the least of each group of near-duplicates; rows without an id stay."""
     gone = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("gone_")).distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
     flat = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
     key = names[docs.columns.index("doc_id")]
-    kept = flat.join(written(gone, "gone"), F.col(key) == F.col("gone_"), "left_anti")
+    kept = flat.join(Scratch(docs.sparkSession).written(gone, "gone"), F.col(key) == F.col("gone_"), "left_anti")
     return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 

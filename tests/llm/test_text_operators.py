@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from cairn.llm.common import Scratch
 from cairn.llm import decontaminate, fingerprints, lm, minhash, personal_data, token_counts, token_files, toxicity
 from cairn.llm.queries import tokenizer
 
@@ -231,18 +232,39 @@ def test_near_duplicates_against_brute_force(spark, width):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, c in enumerate(comp) if c == i] and kept.columns[-1] == "size"
 
 
-def test_near_duplicates_of_a_large_group(spark):
-    """A bucket with many components: centres are doubled until nothing across components is unseen."""
+@pytest.mark.parametrize("small,rows,items", [(33, 512, 500_000), (2, 7, 500_000), (2, 512, 300)])
+def test_near_duplicates_of_a_large_group(spark, monkeypatch, small, rows, items):
+    """Buckets of many components, whole or in blocks by count and by size; a third of all rows are one text."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(minhash, "BLOCK_ITEMS", items)
     rnd = random.Random(8)
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[:k] + [f"y{i}"] + base[k + 1 :]) for i, k in ((i, rnd.randrange(60)) for i in range(60))]
     texts += [" ".join(base[:44] + [f"q{i}{j}" for j in range(16)]) for i in range(40)]
+    texts += [" ".join(base[:k] + base[: k // 3]) for k in range(20, 60)] + [texts[5]] * 70
     _, comp = brute_components(texts, 2)
-    rows = sorted(minhash.near_duplicates(docs(spark, texts), 2, pairs_per_row=1).collect())
+    rows = sorted(minhash.near_duplicates(docs(spark, texts), 2).collect())
     assert [r["component_id"] for r in rows] == comp
 
 
-def test_near_copies_of_which_one_is_in_a_crowded_bucket(spark):
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = minhash.near_duplicates(docs(spark, [text, text, "other words here", "more of them", text, None], ids=[7, 7, 7, None, None, None]), 2).collect()
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows), key=str)
+    assert got == sorted([(7, 39, 7, True), (7, 39, 7, True), (7, 2, 7, True), (None, 2, None, True), (None, 39, 7, False), (None, 0, None, True)], key=str)
+
+
+def test_common_counts_and_links_of_blocks():
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(0, 9000, rnd.integers(1, 9000)).astype(np.uint64)) for _ in range(12)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    off = ~np.eye(12, dtype=bool)
+    assert (minhash.common_counts(sets, None)[off] == want[off]).all()
+    assert (minhash.common_counts(sets[:5], sets[5:]) == want[:5, 5:]).all()
+
+
+def test_near_copies_of_which_one_is_in_a_crowded_bucket(spark, monkeypatch):
     """What a member of a crowded bucket shares with a node outside such buckets counts as well."""
     rnd = random.Random(3)
     passage = [f"p{i}" for i in range(40)]
@@ -260,13 +282,14 @@ def test_near_copies_of_which_one_is_in_a_crowded_bucket(spark):
     texts = [" ".join(t) for t in (*crowd, x, y)]
     _, comp = brute_components(texts, 2)
     assert comp[-1] == comp[-2] == len(crowd)
-    rows = sorted(minhash.near_duplicates(docs(spark, texts), 2, pairs_per_row=1).collect())
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    rows = sorted(minhash.near_duplicates(docs(spark, texts), 2).collect())
     assert [r["component_id"] for r in rows] == comp
 
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(40)] + [("900", "901")], "a string, b string")
-    got = {r["node"]: r["comp"] for r in minhash.components(edges).collect()}
+    got = {r["node"]: r["comp"] for r in minhash.components(edges, Scratch(spark)).collect()}
     assert got == {f"{i:03d}": "000" for i in range(41)} | {"900": "900", "901": "900"}
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
