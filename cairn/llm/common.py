@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,17 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def slices(batch: pa.RecordBatch, column: int, most_rows: int, most_bytes: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most so many rows and (but for a single row) so many bytes of a column's texts."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy()
+    first = 0
+    while first < batch.num_rows:
+        done = int(ends[first - 1]) if first else 0
+        after = min(first + most_rows, max(first + 1, int(ends.searchsorted(done + most_bytes, "right"))))
+        yield batch.slice(first, after - first)
+        first = after
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *caches: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which a worker empties the caches and gives back memory: workers live on and serve other stages."""
 

@@ -1,9 +1,9 @@
 """Homomorphic multiset fingerprints of documents.
 
 A document is the multiset of its paragraphs (lines). Each paragraph hashes to a wide vector: EQUAL lanes of 64
-bits drawn from the whole paragraph, and NEAR lanes of 16 bits, a signed sketch of its windows of GRAM bytes
-(a shorter paragraph is one window). A fingerprint is the sum of its paragraphs' vectors, modulo 2**64 and
-2**16: the order of paragraphs doesn't matter, a paragraph is inserted by adding its vector and deleted by
+bits drawn from the whole paragraph, and NEAR lanes of 32 bits, a signed sketch of its windows of GRAM bytes
+(a shorter paragraph is one window; no text has so many windows that a lane of its own would wrap). A fingerprint is the sum of its
+paragraphs' vectors, modulo 2**64 and 2**32: the order of paragraphs doesn't matter, a paragraph is inserted by adding its vector and deleted by
 subtracting it, equal documents have equal fingerprints, and fingerprints of parts add up to that of the whole.
 Equality is read off the first lanes. The likeness of two fingerprints is 2 a.b / (a.a + b.b) of the signed near
 lanes, cut to 0..1 (1 if all lanes are equal): an estimate of the share of windows in common.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty, tidied
 
 EQUAL, NEAR, GRAM = 4, 256, 16
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -40,11 +40,11 @@ def _bytes(text: str) -> bytes:
 
 
 def vector(paragraphs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of the paragraphs' vectors: (EQUAL uint64 lanes, NEAR uint16 lanes)."""
+    """The sum of the paragraphs' vectors: (EQUAL uint64 lanes, NEAR uint32 lanes)."""
     equal = np.zeros(EQUAL, np.uint64)
     near = np.zeros(NEAR, np.int64)
     if not paragraphs:
-        return equal, near.astype(np.uint16)
+        return equal, near.astype(np.uint32)
     # A wide hash of each paragraph from two 64-bit ones; sums wrap by themselves.
     h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, paragraphs)), np.uint64).reshape(-1, 2)
     for k in range(EQUAL):
@@ -65,7 +65,7 @@ def vector(paragraphs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     w = (w >> np.uint64(64 - 9))[ok[: len(w)]].astype(np.int64)  # eight bits of lane and one of sign
     counts = np.bincount(w, minlength=2 * NEAR)
     near += counts[:NEAR] - counts[NEAR:]
-    return equal, near.astype(np.uint16)
+    return equal, near.astype(np.uint32)
 
 
 def fingerprint(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +88,13 @@ def printed(mark: tuple[np.ndarray, np.ndarray]) -> str:
 
 def parsed(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(text)
-    return np.frombuffer(raw[: 8 * EQUAL], np.uint64), np.frombuffer(raw[8 * EQUAL :], np.uint16)
+    return np.frombuffer(raw[: 8 * EQUAL], np.uint64), np.frombuffer(raw[8 * EQUAL :], np.uint32)
 
 
 def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     if (x[0] == y[0]).all() and (x[1] == y[1]).all():
         return 1.0
-    a, b = x[1].astype(np.int16).astype(float), y[1].astype(np.int16).astype(float)
+    a, b = x[1].astype(np.int32).astype(float), y[1].astype(np.int32).astype(float)
     norm = a @ a + b @ b
     return float(min(1.0, max(0.0, 2 * (a @ b) / norm))) if norm else 0.0
 
@@ -158,5 +158,6 @@ def fingerprints(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names)
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, n_ranges).select("range_", "ahead", "doc_id", "text").mapInArrow(run, schema)
+    return with_next(docs, n_ranges).select("range_", "ahead", "doc_id", "text").mapInArrow(tidied(run), schema)
