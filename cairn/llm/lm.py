@@ -17,7 +17,7 @@ The baseline needs every word's count. Words (64-bit hashes) are counted over th
 frequent go to all workers, and only the others' occurrences are joined with the table, so a frequent word is
 never a join key. Counts, V and N are over all training texts.
 
-Nulls: a null text counts as empty; a null id's crc is that of the empty text. Rows that repeat stay rows.
+Nulls: a null text counts as empty; a null id's crc is that of the empty text. Rows that repeat stay rows (each has a number of its own).
 Without training rows every count is 0. Empty table: empty result.
 """
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, text_or_empty, written
+from .common import crc_of_id, small_batches, text_or_empty, tidied, written
 
 A = 257
 EDGE = 256
@@ -205,7 +205,7 @@ def corpus_counts(train: DataFrame) -> DataFrame:
                     own = keys[i : i + 100_000].astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int8)), pa.array(own), pa.array(n[i : i + 100_000])], ["kind", "key", "n"])
 
-    rows = train.select(text_or_empty().alias("text")).mapInArrow(run, "kind byte, key long, n long")
+    rows = train.select(text_or_empty().alias("text")).mapInArrow(tidied(run), "kind byte, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -241,7 +241,7 @@ def _part_grams(texts: DataFrame, order: int) -> DataFrame:
         if held:
             yield from rows(part, held)
 
-    return texts.select("text", "held_out", "part").mapInArrow(run, "part int, gram long, n long")
+    return texts.select("text", "held_out", "part").mapInArrow(tidied(run), "part int, gram long, n long")
 
 
 def _codes(counts: DataFrame, order: int, short) -> DataFrame:
@@ -267,7 +267,7 @@ def _codes(counts: DataFrame, order: int, short) -> DataFrame:
             yield coded(len(keys))
 
     context = F.expr(f"(gram div {A}) % {A**3}")
-    return counts.select("gram", "n", context.alias("context")).repartition("context").sortWithinPartitions("context").select("gram", "n").mapInArrow(run, "gram long, code double")
+    return counts.select("gram", "n", context.alias("context")).repartition("context").sortWithinPartitions("context").select("gram", "n").mapInArrow(tidied(run), "gram long, code double")
 
 
 def scores(docs: DataFrame, held_out: Column, top: int = TOP, order: int = 2) -> DataFrame:
@@ -275,9 +275,10 @@ def scores(docs: DataFrame, held_out: Column, top: int = TOP, order: int = 2) ->
     if not 2 <= order <= MOST_ORDER:
         raise ValueError(f"contexts of 2 to {MOST_ORDER} symbols")
     spark = docs.sparkSession
-    d = docs.select("doc_id", text_or_empty().alias("text"), held_out.alias("held_out"))
-    if order > 2:
-        d = written(d.withColumn("part", F.spark_partition_id()), "lm-texts")
+    small_batches(spark, 4096)
+    # written with a number of its own for each row, so that rows of like ids and texts stay apart
+    d = docs.select("doc_id", text_or_empty().alias("text"), held_out.alias("held_out"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rid"))
+    d = written(d, "lm-texts")
     counts = written(corpus_counts(d.filter(~F.col("held_out"))), "lm-counts")
     words = counts.filter("kind = 0").select(F.col("key").alias("word"), "n")
     v, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -343,8 +344,7 @@ def scores(docs: DataFrame, held_out: Column, top: int = TOP, order: int = 2) ->
                 hit = known[at] == h if len(known) else np.zeros(len(h), np.bool_)
                 base = np.bincount(owner[hit], gain[at[hit]], len(texts)) - (n_words + 1) * below
                 n_known = np.bincount(owner[hit], minlength=len(texts))
-                rid = np.array([xxhash.xxh3_64_intdigest(t, seed=hash(i) & 0xFFFFFFFF) for t, i in zip(texts, part.column(0).to_pylist())], np.uint64).view(np.int64)
-                m, rest = len(texts), ~hit
+                rid, rest = part.column("rid").to_numpy(), ~hit
                 tail = int(rest.sum())
                 null = lambda kind: pa.nulls(tail, kind)
                 both = lambda a: pa.chunked_array([a, null(a.type)]).combine_chunks()
@@ -358,19 +358,18 @@ def scores(docs: DataFrame, held_out: Column, top: int = TOP, order: int = 2) ->
         codes = _codes(used.groupBy("gram").agg(F.sum("n").alias("n")), order, spark.sparkContext.broadcast(trie_tables(trie_ids, trie_n)))
         own = used.select("part", "gram").join(written(codes, "lm-codes"), "gram")
         d = d.unionByName(own, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("gram").asc_nulls_last())
-    rows = d.mapInArrow(run, f"rid long, word long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rows = d.mapInArrow(tidied(run, _tables), f"rid long, word long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     joined = rows.join(words, "word", "left")
     tail = F.col("n_tokens").isNull()
     by_text = joined.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("score").alias("score"), F.count("n_tokens").alias("copies"),
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("score").alias("score"),
         F.max("n_known").alias("often"), F.count(F.when(tail, F.col("n"))).alias("seldom"),
         F.max("base").alias("base"), F.sum(F.when(tail, F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)))).alias("gain"),
     )
-    one = by_text.select(
-        "doc_id", "held_out", "n_tokens", (F.col("often") + F.floor(F.col("seldom") / F.col("copies"))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("gain") / F.col("copies"), F.lit(0.0))).alias("base_score"), "score", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy_"),
+    return by_text.select(
+        "doc_id", "held_out", "n_tokens", (F.col("often") + F.col("seldom")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score",
     )
-    return one.drop("copy_")
 
 
 def is_held_out(column: str = "doc_id") -> Column:
