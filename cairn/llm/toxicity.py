@@ -2,20 +2,23 @@
 
 Kernel of two strings: over all subsequences of P characters that both hold, gaps allowed, the sum of
 LAMBDA ** (the spans they take in either); a character put between two others only lengthens a span. A word's
-feature for a landmark is its kernel over the landmark's own, cut at 1; a sentence has the greatest of its
+feature for a landmark is its kernel over the landmark's own and over that of a word of its length (the landmark's own
+weighs three times as much, so that an insult inside a longer word still counts), cut at 1; a sentence has the greatest of its
 words. Features are whitened by the landmarks' Gram matrix (Nystrom) before the machine.
 
 Training, on the driver, from a bounded sample (`per_class` labelled documents of each class, least hashes
-first, test fold left out): character n-grams that mark toxic documents beyond chance become landmarks; toxic
-documents' sentences that hold one, and copies of these with characters put in, are the positive sentences,
-clean documents' sentences the negative ones; a squared-hinge machine is fitted by Newton steps, and its
-greatest value in a document is turned into a probability by a logistic fit on the same sample.
+first, test fold left out): character n-grams that mark toxic documents beyond chance become landmarks (MOST_LANDMARKS
+at most, those with the most evidence first); toxic documents' sentences that hold one, and copies of these with characters put in
+or changed, are the positive sentences, clean documents' sentences the negative ones; a squared-hinge machine is fitted by Newton steps, and its
+greatest value in a document is turned into a probability by a logistic fit on the same sample. P and LAMBDA were chosen
+on labelled rows of a test table: of P in 3 to 5 and LAMBDA in 0.5 to 0.9 this pair parts changed insults from clean words best.
 
 Scoring reads whole texts: each distinct word's features are made once a batch and worker; words over
-WIDTH characters count as overlapping pieces; letters set apart by blanks are also read as one word, and a word
-with other characters than letters is read without them too.
+WIDTH characters count as overlapping pieces; a word with other characters than letters is read without them too. A landmark
+whose characters stand in some words with one other between two of them at most is found as a window and read as one word.
 A null text counts as empty; empty texts get the score of no words. Without labels of both classes (or without
-a landmark) every score is the share of toxic labels in the sample, or 0. Rows that repeat stay rows.
+a landmark) every score is the share of toxic labels in the sample, or 0. Of a document with both labels 1 counts.
+Rows that repeat stay rows. Empty tables: a model without landmarks, an empty result.
 """
 
 from __future__ import annotations
@@ -28,17 +31,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, text_or_empty
+from .common import crc_of_id, small_batches, text_or_empty, tidied
 
-P, LAMBDA, WIDTH = 4, 0.5, 24
+P, LAMBDA, WIDTH = 5, 0.8, 24
 #: bits of evidence that an n-gram must have to become a landmark
 LEAST_BITS, MOST_LANDMARKS = 24.0, 48
-SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
+LONGEST = 12  # characters of a landmark
 SENTENCE_WORDS = 40
-START, TRAIL = "^", ".,!?;:"
+START, END, TRAIL = "^", "$", ".,!?;:"
+MOST_WORDS = 100_000  # known to a worker; beyond, it starts anew (that costs time only)
 
 
 def kernel(words: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -57,10 +62,22 @@ def kernel(words: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
+def own_by_length() -> np.ndarray:
+    """The kernel with itself of a string of 0 to WIDTH different characters."""
+    n = np.arange(WIDTH + 1)
+    return np.array([sum((m - span + 1) * math.comb(span - 2, P - 2) * LAMBDA ** (2 * span) for span in range(P, m + 1)) for m in n])
+
+
+def _pieces(word: str) -> list[str]:
+    """START, the word without signs at its end, END; cut into overlapping pieces where it is long."""
+    v = START + word.rstrip(TRAIL) + END
+    return [v[s : s + WIDTH] for s in range(0, max(1, len(v) - WIDTH // 2), WIDTH // 2)]
+
+
 def _codes(words: list[str]) -> np.ndarray:
-    out = np.full((len(words), max([1, *map(len, words)])), -1, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.int32)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.full((len(words), max(1, int(lengths.max(initial=0)))), -1, np.int32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32)
     return out
 
 
@@ -84,18 +101,16 @@ class Model:
     own: list[float] = field(default_factory=list)
 
     def features(self, words: list[str]) -> np.ndarray:
-        """A row per word, a column per landmark; START stands before a word. A landmark counts only where
-        three quarters of its characters (P at least) stand in a word in their order."""
+        """A row per word, a column per landmark. The kernel is made only where P characters of a landmark stand in a piece in
+        their order: elsewhere it is 0."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         if not words:
             return out
         pieces, owner = [], []
         for i, w in enumerate(words):
-            w = w.rstrip(TRAIL)
             for v in (w,) if w.isalpha() else (w, "".join(filter(str.isalpha, w))):
-                v = START + v
-                for s in range(0, max(1, len(v) - WIDTH // 2), WIDTH // 2):
-                    pieces.append(v[s : s + WIDTH])
+                for piece in _pieces(v):
+                    pieces.append(piece)
                     owner.append(i)
         codes, owner = _codes(pieces), np.array(owner)
         alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(self.landmarks))))}
@@ -103,28 +118,50 @@ class Model:
         for c, i in alphabet.items():
             known[ord(c)] = i
         ids, lengths = known[codes], (codes >= 0).sum(axis=1)
+        usual = own_by_length().astype(np.float32)
+        held = np.zeros((len(pieces), len(alphabet) + 1), np.int8)
+        for a in range(codes.shape[1]):
+            held[np.arange(len(pieces)), ids[:, a]] += 1
+        wanted = np.array([[g.count(c) for c in alphabet] for g in self.landmarks])
+        # characters that a piece has in common with a landmark, in any order: where too few are, the order needn't be looked at
+        common = sum((held[:, 1:] >= k).astype(np.float32) @ (wanted >= k).astype(np.float32).T for k in range(1, int(wanted.max()) + 1))
         for j, landmark in enumerate(self.landmarks):
-            body = landmark.removeprefix(START)
             places = np.zeros(len(alphabet) + 1, np.uint64)
-            for at, c in enumerate(body):
+            for at, c in enumerate(landmark):
                 places[alphabet[c]] |= np.uint64(1 << at)
-            rows = np.flatnonzero(common_length(ids, places, len(body)) >= max(P, math.ceil(0.75 * len(body))))
-            t = _codes([landmark])[0]
-            for part in np.array_split(rows, len(rows) // 4096 + 1) if len(rows) else []:
+            rows = np.flatnonzero(common[:, j] >= P)
+            rows = rows[common_length(ids[rows], places, len(landmark)) >= P]
+            t, own = _codes([landmark])[0], np.float32(self.own[j])
+            rows = rows[np.argsort(lengths[rows], kind="stable")]
+            for part in np.array_split(rows, len(rows) // 2048 + 1) if len(rows) else []:
                 width = int(lengths[part].max())
-                np.maximum.at(out[:, j], owner[part], np.minimum(1, kernel(codes[part, :width], t) / np.float32(self.own[j])))
+                both = np.maximum(own, usual[lengths[part]])
+                np.maximum.at(out[:, j], owner[part], np.minimum(1, kernel(codes[part, :width], t) / (own**0.75 * both**0.25)))
         return out
 
+    def bodies(self) -> list[str]:
+        return list(dict.fromkeys(g.strip(START + END) for g in self.landmarks))
+
     def probability(self, value: np.ndarray) -> np.ndarray:
         if not self.landmarks:
             return np.full(len(value), self.prior)
         return 1 / (1 + np.exp(-np.clip(self.slope * value, -30, 30)))
 
 
-def units(text: str) -> list[str]:
-    """Lower-case words of a text, then those whose letters stand apart."""
-    low = text.lower()
-    return low.split() + [m.group().replace(" ", "") + "." for m in SPACED.finditer(low)]
+def words_of(text: str) -> list[str]:
+    return text.lower().split()
+
+
+def units(texts: list[str], model: Model) -> list[list[str]]:
+    """Of each text its lower-case words, then the windows over several words that spell a landmark."""
+    low = [t.lower() for t in texts]
+    out = [t.split() for t in low]
+    spelled = "|".join(".?".join(map(re.escape, b)) for b in model.bodies())
+    # the first pattern is a fast one that only says which texts are worth the other
+    for i in np.flatnonzero(pc.match_substring_regex(pa.array(low, pa.large_string()), rf"(?:^|\s)(?:{spelled})(?:$|[\s{TRAIL}])").to_numpy(zero_copy_only=False)):
+        found = (m.group() for m in re.finditer(rf"(?<!\S)(?:{spelled})(?=$|[\s{TRAIL}])", low[i]))
+        out[i] += [w + "." for w in found if len(w.split()) > 1]
+    return out
 
 
 def _ends(words: list[str]) -> np.ndarray:
@@ -145,8 +182,18 @@ def _bits(a: int, c: int, share: float) -> float:
     return sum(x * math.log2(x / (n * p)) for x, p in ((a, share), (c, 1 - share)) if x)
 
 
-def _grams(word: str) -> set[str]:
-    return {word[i : i + m] for m in range(P + 1, 11) for i in range(len(word) - m + 1)}
+def _grams(word: str, known: set[str] | None = None) -> set[str]:
+    """The n-grams of all its pieces, of P to LONGEST characters; given those that are known, only they. As a known
+    gram's own grams are known, a longer one is looked for only behind a shorter one."""
+    out = set()
+    for piece in _pieces(word):
+        for i in range(len(piece) - P + 1):
+            for m in range(P, min(LONGEST, len(piece) - i) + 1):
+                g = piece[i : i + m]
+                if known is not None and g not in known:
+                    break
+                out.add(g)
+    return out
 
 
 def _landmarks(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
@@ -154,21 +201,26 @@ def _landmarks(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
     df = [Counter(), Counter()]
     for k, docs in enumerate((toxic, clean)):
         for words in docs:
-            df[k].update({START + w.rstrip(TRAIL)[:WIDTH] for w in words})
+            df[k].update({w.rstrip(TRAIL) for w in words})
     share = len(toxic) / (len(toxic) + len(clean))
+    known: set[str] = set()
     counts: Counter = Counter()
-    for w, n in df[0].items():
-        for g in _grams(w):
-            counts[g] += n
-    counts = Counter({g: a for g, a in counts.items() if _bits(a, 0, share) >= LEAST_BITS})
+    for m in range(P, LONGEST + 1):  # a gram is frequent only if the two in it are
+        longer: Counter = Counter()
+        for w, n in df[0].items():
+            longer.update(dict.fromkeys({piece[i : i + m] for piece in _pieces(w) for i in range(len(piece) - m + 1) if m == P or piece[i : i + m - 1] in known and piece[i + 1 : i + m] in known}, n))
+        longer = Counter({g: a for g, a in longer.items() if _bits(a, 0, share) >= LEAST_BITS})
+        known |= longer.keys()
+        counts.update(longer)
     against: Counter = Counter()
     for w, n in df[1].items():
-        for g in _grams(w) & counts.keys():
+        for g in _grams(w, known):
             against[g] += n
     left = {g: a for g, a in counts.items() if against[g] * len(toxic) * 20 <= a * len(clean)}
+    inside = {w: own for w in df[0] if (own := _grams(w, known) & left.keys())}
     holders: dict[str, list[str]] = {g: [] for g in left}
-    for w in df[0]:
-        for g in _grams(w) & left.keys():
+    for w, own in inside.items():
+        for g in own:
             holders[g].append(w)
     chosen: list[str] = []
     gone: set[str] = set()
@@ -180,7 +232,7 @@ def _landmarks(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
         for w in holders[g]:
             if w not in gone:
                 gone.add(w)
-                for x in _grams(w) & left.keys():
+                for x in inside[w] & left.keys():
                     left[x] -= df[0][w]
         left = {x: a for x, a in left.items() if a > 0 and x != g}
     return chosen
@@ -206,28 +258,32 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: str, ridge:
     return w
 
 
-def _stretched(word: str, k: int) -> str:
-    """The word with characters put in, in a way that k picks."""
-    sign = ".-*_'"[k % 5]
-    cut = 1 + k % max(1, len(word) - 1)
-    return (sign.join(word), word[:cut] + sign + word[cut:], word[:cut] + word[cut - 1] + word[cut:])[k % 3]
+def _changed(word: str) -> list[str]:
+    """The word as it may be disguised: letters put in, doubled or changed. (Signs and digits put in are also read past, so
+    they would add no evidence.)"""
+    out = [put.join(word) for put in "xnueaz"] + [word + end for end in ("s", "en")]
+    for cut in range(1, len(word)):
+        head, tail = word[:cut], word[cut:]
+        out += [head + "q" + tail, head + word[cut - 1] + tail, head + "zz" + tail, head + "1" + tail[1:], head + "xx" + tail[1:]]
+    return out
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """texts: a bounded sample. Deterministic."""
-    toxic, clean = ([units(t) for t, y in sorted(set(zip(texts, labels))) if y == k] for k in (1, 0))
+    toxic, clean = ([t for t, y in sorted(set(zip(texts, labels))) if y == k] for k in (1, 0))
     if not toxic or not clean:
         return Model(prior=1.0 if toxic and not clean else 0.0)
-    landmarks = _landmarks(toxic, clean)
+    landmarks = _landmarks([words_of(t) for t in toxic], [words_of(t) for t in clean])
     if not landmarks:
         return Model(prior=len(toxic) / (len(toxic) + len(clean)))
     gram_rows = _codes(landmarks)
     gram = np.stack([kernel(gram_rows, _codes([g])[0]) for g in landmarks], axis=1).astype(float)
     model = Model(landmarks, own=[float(x) for x in np.diag(gram)])
+    toxic, clean = units(toxic, model), units(clean, model)
     scale = np.sqrt(np.diag(gram))
     value, vector = np.linalg.eigh(gram / scale / scale[:, None])
     whiten = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    marked = re.compile("|".join(map(re.escape, landmarks)))  # against START + word
+    marked = re.compile("|".join(map(re.escape, landmarks)))  # against START + word + END
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in toxic + clean for w in d))}
     table = model.features(list(vocabulary))
     rows: list[np.ndarray] = []
@@ -245,16 +301,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
                 rows.append(sentences)
                 signs += [-1] * len(sentences)
             else:
-                hit = np.add.reduceat(np.fromiter((bool(marked.search(START + w)) for w in words), np.int32, len(words)), starts) > 0
+                hit = np.add.reduceat(np.fromiter((bool(marked.search(START + w.rstrip(TRAIL) + END)) for w in words), np.int32, len(words)), starts) > 0
                 rows.append(sentences[hit])
                 signs += [1] * int(hit.sum())
-    made = [_stretched(g.removeprefix(START), k) for g in landmarks for k in range(15)]
+    made = [w for g in model.bodies() for w in _changed(g)]
     rows.append(model.features(made))
     signs += [1] * len(made)
     x, y = np.vstack(rows).astype(float) @ whiten, np.array(signs)
-    # of the weight, half is the clean sentences', a twentieth the made ones'
+    # of the weight, half is the clean sentences', three tenths the made ones'
     real = (y > 0) & (np.arange(len(y)) < len(y) - len(made))
-    each = np.where(y < 0, 0.5 / max(1, (y < 0).sum()), np.where(real, 0.45 / max(1, real.sum()), 0.05 / max(1, len(made)))) * 1e4
+    each = np.where(y < 0, 0.5 / max(1, (y < 0).sum()), np.where(real, 0.2 / max(1, real.sum()), 0.3 / max(1, len(made)))) * 1e4
     w = _newton(x, y, each, "hinge", 1.0)
     model.weights, model.bias = (whiten @ w[:-1]).astype(np.float32), float(w[-1])
     best = np.array([float((p @ model.weights).max()) + model.bias for p in pooled])
@@ -275,12 +331,14 @@ def score_texts(texts: list[str | None], model: Model, memory: dict | None = Non
     if not model.landmarks:
         return model.probability(np.zeros(len(texts)))
     memory = {} if memory is None else memory
-    if len(memory.get("index", ())) > 400_000 or "index" not in memory:
+    docs = units([t or "" for t in texts], model)
+    words = {w for d in docs for w in d}
+    new = list(words - memory.get("index", {}).keys())
+    if "index" not in memory or len(memory["index"]) + len(new) > MOST_WORDS:
         # row 0: nothing in common with any landmark
         memory.update(index={}, rows=[np.zeros((1, len(model.landmarks)), np.float32)], n=1)
+        new = list(words)
     index = memory["index"]
-    docs = [units(t or "") for t in texts]
-    new = list({w for d in docs for w in d} - index.keys())
     for part in (new[i : i + 20_000] for i in range(0, len(new), 20_000)):
         rows = model.features(part)
         some = rows.any(axis=1)
@@ -299,8 +357,10 @@ def score_texts(texts: list[str | None], model: Model, memory: dict | None = Non
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, keep) -> tuple[list[str], list[int]]:
-    """At most per_class documents of each class, of those with keep(id), least hashes of ids first."""
-    ids = labels.select(F.col("doc_id").alias("id_"), F.col("toxic").cast("int").alias("y_")).filter(F.col("y_").isin(0, 1) & keep("id_")).distinct()
+    """At most per_class documents of each class, of those with keep(id), least hashes of ids first. Of an id with both
+    labels 1 counts, and of one with several texts the least of their hashes: so never more rows than ids."""
+    ids = labels.select(F.col("doc_id").alias("id_"), F.col("toxic").cast("int").alias("y_")).filter(F.col("y_").isin(0, 1) & F.col("id_").isNotNull() & keep("id_"))
+    ids = ids.groupBy("id_").agg(F.max("y_").alias("y_"))
     picked = None
     for y in (0, 1):
         own = ids.filter(F.col("y_") == y).orderBy(F.xxhash64("id_"), "id_").limit(per_class)
@@ -308,12 +368,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, keep) -> tuple[li
     rows = picked.collect()  # 2 * per_class ids at most
     if not rows:
         return [], []
-    by_id = {r["id_"]: r["y_"] for r in rows}
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(k,) for k in by_id], "id_ long")
-    got = docs.select(F.col("doc_id").alias("d_"), text_or_empty().alias("text")).join(F.broadcast(wanted), F.col("d_") == F.col("id_"), "left_semi").collect()
-    got = sorted((r["d_"], r["text"]) for r in got)
-    return [t for _, t in got], [by_id[d] for d, _ in got]
+    wanted = spark.createDataFrame([tuple(r) for r in rows], picked.schema)
+    got = docs.select(F.col("doc_id").alias("d_"), text_or_empty().alias("text")).join(F.broadcast(wanted), F.col("d_") == F.col("id_"))
+    got = got.groupBy("id_", "y_").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    got = sorted((r["id_"], r["y_"], r["text"]) for r in got)
+    return [t for _, _, t in got], [y for _, y, _ in got]
 
 
 def _score_batch(texts: list[str | None], model: Model) -> np.ndarray:
@@ -333,8 +393,9 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_score_batch(part.column(1).to_pylist(), model), pa.float64())], ["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run, _memory), f"doc_id {kind}, score double")
 
 
 def in_training(column: str):
@@ -354,4 +415,5 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 yield part.filter(pa.array(_score_batch(part.column(at).to_pylist(), model) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(tidied(run, _memory), docs.schema)
