@@ -83,16 +83,17 @@ def slices(batch: pa.RecordBatch, column: int, most_rows: int, most_bytes: int =
         first = after
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *caches: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which a worker empties the caches and gives back memory: workers live on and serve other stages."""
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *forget: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker empties its module's caches (by functions of that module, which are sent by name) and gives
+    back memory: workers live on and serve other stages."""
 
     @functools.wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            for c in caches:
-                c.clear()
+            for f in forget:
+                f()
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:

@@ -43,6 +43,10 @@ END = xxhash.xxh3_64_intdigest(b" ") - 2**63  # no word is a blank
 _tables: dict = {}
 
 
+def forget() -> None:
+    _tables.clear()
+
+
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of (two predecessors, symbol) at all places of all texts, and where each text starts."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 3
@@ -358,7 +362,7 @@ def scores(docs: DataFrame, held_out: Column, top: int = TOP, order: int = 2) ->
         codes = _codes(used.groupBy("gram").agg(F.sum("n").alias("n")), order, spark.sparkContext.broadcast(trie_tables(trie_ids, trie_n)))
         own = used.select("part", "gram").join(written(codes, "lm-codes"), "gram")
         d = d.unionByName(own, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("gram").asc_nulls_last())
-    rows = d.mapInArrow(tidied(run, _tables), f"rid long, word long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rows = d.mapInArrow(tidied(run, forget), f"rid long, word long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     joined = rows.join(words, "word", "left")
     tail = F.col("n_tokens").isNull()
     by_text = joined.groupBy("rid").agg(

@@ -8,8 +8,8 @@ compressed JSON list of doc_ids, frames, first places and counts), and a seek ta
 then the number of frames, a descriptor and a magic number. A reader finds the table from the file's end,
 the documents in the directory, and decompresses only their frames, checking each.
 
-Documents are dealt to files by ranges of doc_id and sorted inside; a file's name comes from its partition and
-content, so a task that runs again writes the same file again. `start` (ids before a document) is a file's
+Documents are dealt to files by ranges of doc_id and sorted inside; a file's name comes from its partition and its
+place there, and it is moved to it when complete, so a task that runs again writes the same files again. `start` (ids before a document) is a file's
 ids before it plus a prefix sum over files, one row per file.
 
 Nulls: a null text counts as empty (just the end id); a null doc_id sorts first. Rows that repeat are
@@ -27,13 +27,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_or_empty
+from .common import fresh_path, slices, text_or_empty, tidied
 from .units import MOST_UNITS, units
 
 #: fixed values of the public formats: skippable frames' magic numbers and the seek table's own
@@ -44,6 +45,9 @@ FILE_IDS = 8_000_000
 END_ID = 2
 FIRST, SIGNS = "\0", ".,!?;:#$%&*|"
 BLANK = "\u0120"  # a blank in the texts of byte-level vocabularies
+_WHITE = r"[\s\v\x1c-\x1f\x85\p{Z}]"
+#: texts that can't be cut at every blank: white space side by side or at an end, or the mark of first units
+UNEVEN = rf"\x00|{_WHITE}{{2}}|^{_WHITE}|{_WHITE}$"
 _encoders: dict = {}
 
 
@@ -61,80 +65,107 @@ class UnitEncoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.opens = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.bool_)
         self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(BLANK)]] = True
-        self.known: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.known.clear()
+        """names: the known units; of each, where its ids start and how many they are."""
+        self.names = pa.array([], pa.large_string())
         self.ids, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, units: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        self.known.update(zip(units, range(len(self.lengths), len(self.lengths) + len(units))))
+    def _add(self, names: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, names])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, ids])
 
+    def _known(self, names: pa.Array) -> np.ndarray:
+        """Places of units; -1 for unknown ones."""
+        return pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy().astype(np.int64)
+
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of known units, one behind the other."""
         n = self.lengths[at]
         ends = np.cumsum(n)
         return n, self.ids[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: pa.Array) -> None:
         """A unit is known by its text, with the blank before it; a text's first unit with FIRST before it.
         Letters with signs behind them are two words to the vocabulary, so their ids are put together."""
-        pairs = []
-        plain = []
-        for u in new:
-            stem = u.rstrip(SIGNS)
-            if len(stem) < len(u) and stem.isalpha():
-                pairs.append((u, stem, FIRST + u[len(stem) :]))
-            else:
-                plain.append(u)
-        plain = list({*plain, *(p[1] for p in pairs), *(p[2] for p in pairs)} - self.known.keys())
-        words = [u for u in plain if u.isalpha()]
+        stems = pc.utf8_rtrim(new, characters=SIGNS)
+        paired = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(new)), pc.utf8_is_alpha(stems))
+        pairs, stems = new.filter(paired), stems.filter(paired)
+        tails = pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), pc.replace_substring_regex(pairs, r"^\p{L}+", ""), pa.scalar("", pa.large_string()))
+        plain = pc.unique(pa.concat_arrays([new.filter(pc.invert(paired)), stems, tails]))
+        plain = plain.filter(pa.array(self._known(plain) < 0))
+        alpha = pc.utf8_is_alpha(plain)
+        words, rest = plain.filter(alpha), [plain.filter(pc.invert(alpha))]
         for i in range(0, len(words), 4096):
             # many words at a time: a word's ids start where an id's text starts with a blank
-            part = words[i : i + 4096]
-            ids = np.array(self._plain([" " + " ".join(part)])[0], np.uint32)
+            part = words.slice(i, 4096)
+            ids = np.array(self._plain([" " + " ".join(part.to_pylist())])[0], np.uint32)
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(part):
                 self._add(part, np.diff(starts, append=len(ids)), ids)
-        rest = [u for u in plain if u not in self.known]
-        got = self._plain([u[1:] if u[0] == FIRST else " " + u for u in rest])
+            else:
+                rest.append(part)
+        rest = pa.concat_arrays(rest)
+        got = self._plain([u[1:] if u[0] == FIRST else " " + u for u in rest.to_pylist()])
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         self._add(rest, lengths, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())))
-        if pairs:
-            at = np.array([(self.known[a], self.known[b]) for _, a, b in pairs])
-            n, ids = self._gather(at.reshape(-1))
-            self._add([p[0] for p in pairs], n.reshape(-1, 2).sum(axis=1), ids)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_unit:
-            return [np.array(x, np.uint32) for x in self._plain(texts)]
-        if len(self.known) > MOST_UNITS:
-            self.clear()
-        cut, whole = [], []
-        for i, t in enumerate(texts):
-            if not t or FIRST in t or any(a in t for a in self.added):
-                whole.append(i)
-                cut.append([])
-            else:
-                c = units(t)
-                c[0] = FIRST + c[0]
-                cut.append(c)
-        new = list(set().union(*cut) - self.known.keys())
-        if new:
-            self._learn(new)
-        n_units = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(n_units.sum()))
+        if len(pairs):
+            n, ids = self._gather(np.stack([self._known(stems), self._known(tails)], axis=1).reshape(-1))
+            self._add(pairs, n.reshape(-1, 2).sum(axis=1), ids)
+
+    def _places(self, values: pa.Array) -> np.ndarray:
+        """Where different units are known; all are in the end."""
+        at = self._known(values)
+        missing = at < 0
+        if missing.any():
+            if len(self.names) + int(missing.sum()) > MOST_UNITS:
+                self.clear()
+                missing[:] = True
+            self._learn(values.filter(pa.array(missing)))
+            at = self._known(values)
+        return at
+
+    def _join(self, flat: pa.Array, n_units: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts given as their units, one behind the other (a unit at least for each)."""
+        firsts = np.cumsum(n_units) - n_units
+        first = pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), flat.take(pa.array(firsts)), pa.scalar("", pa.large_string()))
+        coded = flat.dictionary_encode()
+        # first units go in with the others, so that a cleared memory learns all at once
+        own = pa.chunked_array([coded.dictionary, first]).combine_chunks().dictionary_encode()
+        places = self._places(own.dictionary)[own.indices.to_numpy()]
+        at = places[coded.indices.to_numpy()]
+        at[firsts] = places[len(coded.dictionary) :]
         n, ids = self._gather(at)
         ends = np.concatenate([[0], np.cumsum(n)])
-        out = np.split(ids, ends[np.cumsum(n_units)[:-1]])
-        for i, x in zip(whole, self._plain([texts[i] for i in whole])):
+        return np.split(ids, ends[np.cumsum(n_units)[:-1]])
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not self.by_unit:
+            return [np.array(x, np.uint32) for x in self._plain(column.to_pylist())]
+        whole = pc.or_(pc.equal(pc.binary_length(column), 0), pc.match_substring(column, FIRST))
+        for a in self.added:
+            whole = pc.or_(whole, pc.match_substring(column, a))
+        uneven = pc.and_not(pc.match_substring_regex(column, UNEVEN), whole)
+        out: list[np.ndarray] = [None] * len(column)
+        even = np.flatnonzero(~pc.or_(whole, uneven).to_numpy(zero_copy_only=False))
+        if len(even):
+            parts = pc.split_pattern(column.take(pa.array(even)), " ")
+            for i, ids in zip(even, self._join(parts.flatten(), pc.list_value_length(parts).to_numpy().astype(np.int64))):
+                out[i] = ids
+        odd = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+        if len(odd):
+            cut = [units(column[int(i)].as_py()) for i in odd]
+            for i, ids in zip(odd, self._join(pa.array(chain.from_iterable(cut), pa.large_string()), np.array(list(map(len, cut))))):
+                out[i] = ids
+        rest = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for i, x in zip(rest, self._plain([column[int(i)].as_py() for i in rest])):
             out[i] = np.array(x, np.uint32)
         return out
 
@@ -145,6 +176,11 @@ def encoder(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    for e in _encoders.values():
+        e.clear()
+
+
 class FrameWriter:
     """Documents one after the other; blob() is the file."""
 
@@ -240,8 +276,8 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, n
             piece, writer = piece + 1, FrameWriter()
 
         for batch in batches:
-            for s in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                for doc_id, ids in zip(s.column(0).to_pylist(), encoder(path).encode(s.column(1).to_pylist())):
+            for s in slices(batch, 1, 8192):
+                for doc_id, ids in zip(s.column(0).to_pylist(), encoder(path).encode(s.column(1))):
                     writer.add(doc_id, np.concatenate([ids, end]))
                     if writer.n_ids >= FILE_IDS:
                         close()
@@ -249,16 +285,27 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, n
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["name", "part", "piece", "n_docs", "n_ids"])
 
-    files = sorted_docs.mapInArrow(run, "name string, part int, piece int, n_docs long, n_ids long")
+    files = sorted_docs.mapInArrow(tidied(run, forget), "name string, part int, piece int, n_docs long, n_ids long")
     manifest = folder.rstrip("/") + "-manifest"
     files.write.parquet(manifest)
     return spark.read.parquet(manifest)
 
 
+def _prefix_sums(rows: list) -> list[tuple[int, int]]:
+    out, total = [], 0
+    for part, n in sorted((r[0], r[1]) for r in rows):
+        out.append((part, total))
+        total += n
+    return out
+
+
 def read_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    before = W.orderBy("part", "piece").rowsBetween(W.unboundedPreceding, -1)
-    starts = manifest.select("name", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    # a partition's files are few; partitions before it are summed on their own
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids_"))
+    sums = spark.createDataFrame(_prefix_sums(parts.collect()), "part int, before_ long")  # two numbers a partition
+    inside = W.partitionBy("part").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    starts = manifest.join(F.broadcast(sums), "part").select("name", (F.col("before_") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("first"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if manifest.isEmpty():
         return spark.createDataFrame([], schema)
@@ -275,7 +322,7 @@ def read_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFra
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blobs.select("first", "content").mapInArrow(run, schema)
+    return blobs.select("first", "content").mapInArrow(tidied(run), schema)
 
 
 def encode_and_read(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
