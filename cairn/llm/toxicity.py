@@ -43,7 +43,7 @@ LEAST_BITS, MOST_LANDMARKS = 24.0, 48
 LONGEST = 12  # characters of a landmark
 SENTENCE_WORDS = 40
 START, END, TRAIL = "^", "$", ".,!?;:"
-MOST_WORDS = 100_000  # known to a worker; beyond, it starts anew (that costs time only)
+MOST_WORDS = 300_000  # known to a worker; beyond, it starts anew (that costs time only)
 
 
 def kernel(words: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -326,6 +326,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 _memory: dict = {}
 
 
+def forget() -> None:
+    _memory.clear()
+
+
 def score_texts(texts: list[str | None], model: Model, memory: dict | None = None) -> np.ndarray:
     """Whole texts. memory: word -> row of known features, kept between calls."""
     if not model.landmarks:
@@ -343,15 +347,15 @@ def score_texts(texts: list[str | None], model: Model, memory: dict | None = Non
         rows = model.features(part)
         some = rows.any(axis=1)
         at = np.where(some, memory["n"] - 1 + np.cumsum(some), 0)
-        index.update(zip(part, zip(at.tolist(), _ends(part).tolist())))
+        index.update(zip(part, (2 * at + _ends(part)).tolist()))  # row, and whether a sentence ends
         memory["rows"].append(rows[some])
         memory["n"] += int(some.sum())
     memory["rows"] = [np.vstack(memory["rows"])]
     table, out = memory["rows"][0], np.full(len(texts), model.bias)
     for i, words in enumerate(docs):
         if words:
-            at, ends = np.array([index[w] for w in words]).T
-            sentences = np.maximum.reduceat(table[at], _starts(ends.astype(bool)), axis=0)
+            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            sentences = np.maximum.reduceat(table[at >> 1], _starts((at & 1).astype(bool)), axis=0)
             out[i] = float((sentences @ model.weights).max()) + model.bias
     return model.probability(out)
 
@@ -395,7 +399,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(tidied(run, _memory), f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run, forget), f"doc_id {kind}, score double")
 
 
 def in_training(column: str):
@@ -416,4 +420,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 yield part.filter(pa.array(_score_batch(part.column(at).to_pylist(), model) < threshold))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(tidied(run, _memory), docs.schema)
+    return docs.mapInArrow(tidied(run, forget), docs.schema)

@@ -2,11 +2,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm.common import Scratch
 from cairn.llm import decontaminate, fingerprints, lm, minhash, personal_data, token_counts, token_files, toxicity
@@ -108,6 +110,28 @@ def test_fingerprints_against_brute_force(spark):
     assert fingerprints.fingerprints(docs(spark, ["alone"])).first()["near_next"] == 1.0
 
 
+def test_likeness_of_long_repetitive_texts():
+    for n in (30_000, 65_551, 131_087):
+        x, y = "a" * n, "a" * (n - 100) + "".join(map(chr, range(300, 400)))
+        assert fingerprints.likeness(fingerprints.fingerprint(x), fingerprints.fingerprint(y)) > 0.99
+        assert fingerprints.likeness(fingerprints.fingerprint(x), fingerprints.fingerprint("b" * n)) < 0.01
+
+
+def windows_in_common(x, y):
+    """The likeness by hand: 2 x common / (all) of the squares of window counts, without a sketch."""
+    counts = [Counter(w for line in t.encode().split(b"\n") for w in ([line[i : i + 16] for i in range(len(line) - 15)] or [line])) for t in (x, y)]
+    dot = lambda a, b: sum(n * b[w] for w, n in a.items())
+    return 2 * dot(*counts) / (dot(counts[0], counts[0]) + dot(counts[1], counts[1]))
+
+
+def test_likeness_against_whole_window_counts():
+    rnd = random.Random(12)
+    for share in (0.0, 0.25, 0.5, 0.75, 0.95):
+        x = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(600))
+        y = x[: int(len(x) * share)] + " ".join(f"v{rnd.randrange(10**6)}" for _ in range(600))[: int(len(x) * (1 - share))]
+        assert fingerprints.likeness(fingerprints.fingerprint(x), fingerprints.fingerprint(y)) == pytest.approx(windows_in_common(x, y), abs=0.2)
+
+
 def test_fingerprints_are_homomorphic():
     a, b = ["first paragraph of all", "x"], ["second one, longer than a window", "x", ""]
     enc = lambda ps: [p.encode() for p in ps]
@@ -177,6 +201,63 @@ def test_written_addresses_without_digits():
     assert not any(personal_data.find([t])[0][1] for t in ("look at this.then go", "arrive at home.Then go", "see it at www.example.com"))
 
 
+#: lines that the field hasn't seen: [kind|text] marks what it should add to the patterns' spans
+UNSEEN = """
+please phone [phone|(303) 555-0188] before six
+his line is [phone|718-555-0134] at work
+Telefon [phone|040 555 01 23] in Hamburg
+fax [phone|312.555.0166] or post
+dial [phone|(617) 555 0111] again
+mail to [email|ann dot lee at sample dot org] please
+send to [email|r.jones (at) city (dot) net] soon
+ask [email|mia[at]sample[dot]com] first
+or [email|t.kim [at] sample.org] then
+drop [email|paul at sample dot edu] a line
+server [ip|172[.]20[.]1[.]9] is slow
+from [ip|10[.]0[.]44[.]2] to the gate
+node [ip|192(.)168(.)77(.)3] failed
+card [card|4012.8888.8888.1881] was used
+visa [card|5555/5555/5555/4444] on file
+ssn 321-54-9876 was on the slip
+the ratio 10-30-60 20 40 40 held
+ratio 12-34-56 78 90 11 again
+on 2022-11-05 at 09:15 they met
+from 03.04.2019 to 05.06.2019 closed
+version 3.11.4 and 2.0.19 run
+they looked at a dot and at a line
+pages 12-19, 45 and 101 are missing
+build 20230517.3 passed 900 of 901 tests
+id 7d444840-9dc0-11d1-b245-5ffdce74fad2 done
+total 1,250,000 in 12 lots of 14
+isbn 978-0-306-40615-7 was out
+order 99120345 of 17 items left
+""".strip().split("\n")
+
+
+def test_precision_and_recall_on_unseen_lines():
+    hit = wrong = missed = 0
+    for line in UNSEEN:
+        text, want = "", set()
+        for part in re.split(r"(\[(?:email|ip|card|phone)\|(?:[^\[\]]|\[[^\]]*\])*\])", line):
+            m = re.fullmatch(r"\[(\w+)\|(.*)\]", part)
+            if m:
+                want.add((m[1], len(text), len(text) + len(m[2])))
+            text += m[2] if m else part
+        base, every = personal_data.find([text])[0]
+        added = set(every) - {(k, *s) for k in personal_data.KINDS for s in base[k]}
+        hit, wrong, missed = hit + len(added & want), wrong + len(added - want), missed + len(want - added)
+    assert hit / (hit + missed) >= 0.8 and hit / (hit + wrong) >= 0.9, (hit, wrong, missed)
+
+
+def test_long_lines_take_linear_time():
+    zeros = "0" * 5000 + ".1.2.3"
+    assert personal_data.find([zeros])[0][1] == [("ip", 0, len(zeros))] and personal_data.base_spans("9" * 5000 + ".1.2.3")["ip"] == []
+    began = time.perf_counter()
+    for line in ("look at it ", "at-at-", "1 at a ", "x at y-"):
+        personal_data.find([line * (1_000_000 // len(line))])
+    assert time.perf_counter() - began < 60
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
@@ -393,6 +474,10 @@ def test_long_contexts_against_brute_force(spark, order):
     assert all(rows[i]["base_score"] == pytest.approx(short[i]["base_score"]) and rows[i][:5] == short[i][:5] for i in rows)
     doubled = lm.scores(docs(spark, ["a b", "a b"], ids=[4, 4]), lm.is_held_out(), order=order).collect()
     assert len(doubled) == 2 and doubled[0] == doubled[1] and lm.scores(docs(spark, []), lm.is_held_out(), order=order).count() == 0
+    ids = [1, 2**32 + 1, -1, -2, 5, 5 + 2**61 - 1, None, None]  # equal texts stay rows of their own ids
+    alike = lm.scores(docs(spark, ["a b c"] * 8, ids=ids), lm.is_held_out(), order=order).collect()
+    assert sorted((r["doc_id"] for r in alike), key=str) == sorted(ids, key=str) and {r["n_tokens"] for r in alike} == {4}
+    assert all(r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 7 == 2) for r in alike)
 
 
 def test_the_query_uses_long_contexts(tmp_path, spark):
@@ -450,7 +535,7 @@ def test_held_out_accuracy_and_inserted_characters(spark):
     rows = {r["doc_id"]: r["score"] for r in toxicity.scores(frame, model).collect()}
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(rows) == len(texts) + len(AWKWARD) and sum((rows[i] >= 0.5) == labels[i] for i in held) >= 0.97 * len(held)
-    assert (toxicity.score_texts(["you i.d.i.o.t", "an idiiot here", "w o r t h l e s s"], model) >= 0.5).all()
+    assert (toxicity.score_texts(["you i.d.i.o.t", "an idiiot here", "w o r t h l e s s", "idi ot", "idqiot", "id7iot", "worth less", "wozrthless", "wortqhlesss", "an " + "ba" * 40 + " idiot"], model) >= 0.5).all()
     assert (toxicity.score_texts([None, "", "bara"], model) < 0.5).all()
     kept = toxicity.reject(frame, model)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, s in rows.items() if s < 0.5) and kept.columns == frame.columns
@@ -458,6 +543,29 @@ def test_held_out_accuracy_and_inserted_characters(spark):
     assert toxicity.scores(docs(spark, []), empty).count() == 0 and toxicity.score_texts(["x"], empty)[0] == 0
 
 
+def test_landmarks_stand_anywhere_in_a_word_and_rows_are_bounded(spark):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abcdefgh") for _ in range(30)) + ("moronic" if i % 2 else "") + rnd.choice("abc") * 3 for i in range(160)]
+    model = toxicity.fit(texts, [i % 2 for i in range(160)])
+    assert any("moronic" in g for g in model.landmarks)
+    assert (toxicity.score_texts(["a" * 50 + "moronic" + "c" * 9, "xyz"], model) >= 0.5).tolist() == [True, False]
+    ids = [1] * 50 + [2, 3, None]
+    got = toxicity.sample(docs(spark, [f"t{i}" for i in range(53)], ids=ids), spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (None, 1)], "doc_id long, toxic int"), 5, lambda c: F.lit(True))
+    assert len(got[0]) == 2 and got[1] == [1, 0]
+    both = toxicity.sample(docs(spark, ["a"]).selectExpr("'k' as doc_id", "text"), spark.createDataFrame([("k", 1)], "doc_id string, toxic int"), 5, lambda c: F.lit(True))
+    assert both == (["a"], [1])
+
+
+def test_pieces_give_the_kernel_of_the_whole_word():
+    rnd = random.Random(9)
+    model = toxicity.Model(["^idiot$", "worthless"], own=[float(toxicity.kernel(toxicity._codes([g]), toxicity._codes([g])[0])[0]) for g in ("^idiot$", "worthless")])
+    for at in range(0, 60, 7):
+        word = "".join(rnd.choice("kmpq") for _ in range(at)) + "worthless" + "".join(rnd.choice("kmpq") for _ in range(30))
+        assert model.features([word])[0][1] >= 0.5
+        want = toxicity.kernel(toxicity._codes(["^" + word + "$"]), toxicity._codes(["worthless"])[0])[0]
+        assert want == pytest.approx(model.own[1], rel=0.3)
+
+
 # ---- decontamination
 
 
@@ -488,3 +596,21 @@ def test_leaks_and_recall_against_brute_force(spark):
     kept = {r["doc_id"] for r in decontaminate.clean(docs(spark, texts), bench).collect()}
     assert kept == set(range(len(texts))) - {d for d, _ in got}
     assert decontaminate.leaks(docs(spark, []), bench).count() == 0 and decontaminate.leaks(docs(spark, texts), bench.limit(0)).count() == 0
+
+
+# ---- null and repeated ids, hot copies
+
+
+def test_rows_of_null_repeated_and_hot_ids_stay(spark, tmp_path):
+    """A third of all rows are one text, ids repeat or are null: each operator returns a row for each row."""
+    texts = ["same words here again"] * 30 + [f"text number {i}" for i in range(30)] + [None, "", "same words here again"]
+    ids = [*range(30), *([7] * 10), *([None] * 10), *range(100, 110), None, None, 7]
+    frame = docs(spark, texts, ids=ids)
+    model = toxicity.Model(prior=0.25)
+    made = {
+        "counts": token_counts.token_counts(frame, tokenizer("piece_bpe_32k.model")), "marks": fingerprints.fingerprints(frame, 3), "personal": personal_data.personal_data(frame),
+        "scores": lm.scores(frame, lm.is_held_out(), order=3), "files": token_files.encode_and_read(frame, tokenizer("byte_bpe_50k.json")), "toxic": toxicity.scores(frame, model),
+        "near": minhash.near_duplicates(frame, 2),
+    }
+    for name, rows in made.items():
+        assert Counter(r["doc_id"] for r in rows.collect()) == Counter(ids), name
