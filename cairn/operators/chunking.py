@@ -21,9 +21,10 @@ def cut(entries: DataFrame, keys: list[str], payload: str = "payload", piece: in
     size = F.octet_length(payload).cast("long")
     step = F.lit(piece).cast("long") if isinstance(piece, int) else piece(size).cast("long")
     d = entries.select(*keys, F.col(payload).alias("payload_"), size.alias("size_"), step.alias("step_")).filter("size_ > 0")
-    d = d.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size_") - 1) / F.col("step_")))).alias("seq"))
-    data = F.substring("payload_", (F.col("seq") * F.col("step_") + 1).cast("int"), F.col("step_").cast("int"))
-    d = d.select(*keys, "seq", (F.col("seq") * F.col("step_")).alias("offset"), data.alias("data"))
+    # the pieces are cut before the rows are made, so that no row carries the whole payload
+    places = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size_") - 1) / F.col("step_")))
+    pieces = F.transform(places, lambda i: F.struct(i.alias("seq"), (i * F.col("step_")).alias("offset"), F.substring("payload_", (i * F.col("step_") + 1).cast("int"), F.col("step_").cast("int")).alias("data")))
+    d = d.select(*keys, F.explode(pieces).alias("piece_")).select(*keys, "piece_.*")
     return d.withColumn("chunk_size", F.octet_length("data").cast("long")).withColumn("digest", digests.digest(F.col("data")))
 
 
@@ -66,8 +67,10 @@ def reassembled(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """The payload back from its chunks, in order, with its SHA-256."""
     parts = F.array_sort(F.collect_list(F.struct("seq", "data")))
     d = chunks.groupBy(*keys).agg(parts.alias("parts_"))
-    whole = F.aggregate("parts_", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["data"]))
-    return d.select(*keys, F.size("parts_").alias("n_chunks"), F.sha2(whole, 256).alias("sha256"), whole.alias("payload"))
+    # joined as hex: one copy, where appending chunk by chunk copies the payload for each
+    whole = F.unhex(F.array_join(F.transform("parts_", lambda p: F.hex(p["data"])), ""))
+    d = d.select(*keys, F.size("parts_").alias("n_chunks"), whole.alias("payload"))
+    return d.select(*keys, "n_chunks", F.sha2("payload", 256).alias("sha256"), "payload")
 
 
 def walk(entries: DataFrame, default_shift: int = 16) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,14 +90,15 @@ def totals(swept: DataFrame) -> DataFrame:
     )
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """All nodes that a start reaches over edges(src, dst): (start, node), starts included. Semi-naive:
-    each round joins only what the last one found; rounds are checkpointed."""
+    each round joins only what the last one found, until it finds nothing; rounds are checkpointed, and every few the whole."""
     found = new = starts.select(F.col("node").alias("start"), "node").distinct()
-    for _ in range(max_rounds):
+    for k in itertools.count(1):
         step = new.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         new = step.join(found, ["start", "node"], "left_anti").checkpoint()
         if new.isEmpty():
             return found
         found = found.union(new)
-    raise RuntimeError("the closure did not end")
+        if k % 8 == 0:  # else the plan grows by a branch a round
+            found = found.checkpoint()

@@ -21,10 +21,21 @@ def allocate(rows: DataFrame, order: list[str], blocks: str = "blocks", slab_blo
     return d.select("digest", F.floor(F.col("before") / room).cast("int").alias("slab_id"), (F.col("before") % room + taken).alias("addr"), F.col(blocks).cast("long").alias("blocks"))
 
 
+def _next(slab: DataFrame, at, name: str, width: int = 1 << 16) -> DataFrame:
+    """Adds, to each address, the next greater one of its slab that `at` gives (null where it gives none). Addresses
+    are cut into ranges: a window works inside each, and the ranges' first values (one row each) are looked up behind it, so
+    that a slab of any size is many tasks' work."""
+    d = slab.withColumn("range_", F.floor(F.col("addr") / width)).withColumn("at_", at)
+    inside = W.partitionBy("slab_id", "range_").orderBy(F.col("addr").desc()).rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy("slab_id").orderBy(F.col("range_").desc()).rowsBetween(W.unboundedPreceding, -1)
+    firsts = d.groupBy("slab_id", "range_").agg(F.min("at_").alias("first_")).select("slab_id", "range_", F.last("first_", ignorenulls=True).over(later).alias("beyond_"))
+    d = d.withColumn("near_", F.last("at_", ignorenulls=True).over(inside)).join(firsts, ["slab_id", "range_"])
+    return d.withColumn(name, F.coalesce("near_", "beyond_")).drop("range_", "at_", "near_", "beyond_")
+
+
 def chunk_blocks(slab: DataFrame, ends: DataFrame) -> DataFrame:
     """A chunk's blocks reach to the next address; the last one's to the slab's end."""
-    following = F.lead("addr").over(W.partitionBy("slab_id").orderBy("addr"))
-    d = slab.withColumn("next_", following).join(F.broadcast(ends), "slab_id", "left")  # a row per slab
+    d = _next(slab, F.col("addr"), "next_").join(ends, "slab_id", "left")
     return d.withColumn("blocks", F.coalesce("next_", "slab_end") - F.col("addr")).drop("next_", "slab_end")
 
 
@@ -38,10 +49,9 @@ def slab_stats(sized: DataFrame) -> DataFrame:
 
 def freed_ranges(slab: DataFrame, ends: DataFrame, dead: str = "dead") -> DataFrame:
     """Each dead chunk's range reaches to the next chunk that lives (or the slab's end); of those with
-    the same end the first is the range. One window per slab, in descending order with a running frame."""
-    ahead = W.partitionBy("slab_id").orderBy(F.col("addr").desc()).rowsBetween(W.unboundedPreceding, -1)
-    d = slab.withColumn("end", F.last(F.when(~F.col(dead), F.col("addr")), ignorenulls=True).over(ahead))
-    d = d.filter(dead).join(F.broadcast(ends), "slab_id", "left").withColumn("end", F.coalesce("end", "slab_end"))
+    the same end the first is the range."""
+    d = _next(slab, F.when(~F.col(dead), F.col("addr")), "end")
+    d = d.filter(dead).join(ends, "slab_id", "left").withColumn("end", F.coalesce("end", "slab_end"))
     return d.groupBy("slab_id", "end").agg(F.min("addr").alias("addr"))
 
 

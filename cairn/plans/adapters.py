@@ -91,8 +91,17 @@ sums AS (SELECT *, coalesce(sum(blocks) OVER (ORDER BY image, digest ROWS BETWEE
 slab AS (SELECT digest, (before // {ROOM})::INT AS slab_id, before % {ROOM} + 4 AS addr, blocks::BIGINT AS blocks, digest % 4 <> 0 AS present FROM sums)"""
 
 
-def slab_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slab(spark, sf_dir).groupBy("slab_id").agg(F.max(F.col("addr") + F.col("blocks")).alias("slab_end"))
+def slab_and_ends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Allotted once, as both are asked for together; a checkpoint, so that it outlives a lost executor."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    s = slab(spark, sf_dir).checkpoint()
+    return s, ends_of(s)
+
+
+def ends_of(s: DataFrame) -> DataFrame:
+    return s.groupBy("slab_id").agg(F.max(F.col("addr") + F.col("blocks")).alias("slab_end"))
 
 
 SLAB_ENDS = f"{SLAB}, ends AS (SELECT slab_id, max(addr + blocks) AS slab_end FROM slab GROUP BY slab_id)"

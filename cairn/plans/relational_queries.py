@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests, text
 from ..operators import catalog as cat, chunking, gc, ordered, planning, refs, reports, slab as sl
-from .adapters import CATALOG, CHUNKS, ENTRIES, IMAGE_CHUNKS, IMAGES, MANIFEST_CHUNKS, PIECE, SLAB, SLAB_ENDS, catalog, chunks, entries, events, image_chunks, images, manifest_chunks, slab, slab_ends, table
+from .adapters import CATALOG, CHUNKS, ENTRIES, IMAGE_CHUNKS, IMAGES, MANIFEST_CHUNKS, PIECE, SLAB, SLAB_ENDS, catalog, chunks, entries, events, image_chunks, images, manifest_chunks, slab, slab_and_ends, table
 from .registry import query
 
 
@@ -142,19 +142,22 @@ _SIZED = f"{SLAB_ENDS}, sized AS (SELECT slab_id, addr, digest, present, coalesc
 
 @query("W02_chunk_blocks", f"WITH {_SIZED} SELECT slab_id, addr, blocks FROM sized")
 def w02(spark, d):
-    return sl.chunk_blocks(slab(spark, d).drop("blocks"), slab_ends(spark, d)).select("slab_id", "addr", "blocks")
+    s, ends = slab_and_ends(spark, d)
+    return sl.chunk_blocks(s.drop("blocks"), ends).select("slab_id", "addr", "blocks")
 
 
 @query("A04_slab_stats", f"WITH {_SIZED}, h AS (SELECT slab_id, blocks, count(*) AS n, count(*) FILTER (present) AS here FROM sized GROUP BY ALL) SELECT slab_id, sum(n)::BIGINT AS chunks, sum(n * blocks)::BIGINT AS total_blocks, sum(here)::BIGINT AS present_chunks, sum(here * blocks)::BIGINT AS present_blocks, '{{' || string_agg('\"' || blocks || '\":' || n, ',' ORDER BY blocks) || '}}' AS histogram FROM h GROUP BY slab_id")
 def a04(spark, d):
-    return sl.slab_stats(sl.chunk_blocks(slab(spark, d).drop("blocks"), slab_ends(spark, d)))
+    s, ends = slab_and_ends(spark, d)
+    return sl.slab_stats(sl.chunk_blocks(s.drop("blocks"), ends))
 
 
 _FREED = f"{SLAB_ENDS}, ahead AS (SELECT slab_id, addr, digest % 5 < 3 AS dead, min(CASE WHEN digest % 5 >= 3 THEN addr END) OVER (PARTITION BY slab_id ORDER BY addr ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM slab), freed AS (SELECT slab_id, coalesce(nxt, slab_end) AS \"end\", min(addr) AS addr FROM ahead JOIN ends USING (slab_id) WHERE dead GROUP BY ALL)"
 
 
 def freed(spark, d):
-    return sl.freed_ranges(slab(spark, d).withColumn("dead", F.col("digest") % 5 < 3), slab_ends(spark, d))
+    s, ends = slab_and_ends(spark, d)
+    return sl.freed_ranges(s.withColumn("dead", F.col("digest") % 5 < 3), ends)
 
 
 @query("W03_freed_ranges", f"WITH {_FREED} SELECT slab_id, \"end\", addr FROM freed")
@@ -210,8 +213,9 @@ SELECT slab_id, min(addr) AS addr, coalesce(nxt, e)::BIGINT AS "end" FROM nx JOI
 def g16(spark, d):
     """Mark, sweep, and the ranges to punch."""
     live = gc_frames(spark, d)[4]
-    s = slab(spark, d).join(live.withColumn("l_", F.lit(True)), "digest", "left").withColumn("dead", F.col("l_").isNull()).drop("l_")
-    return sl.freed_ranges(s, slab_ends(spark, d))
+    s, ends = slab_and_ends(spark, d)
+    s = s.join(live.withColumn("l_", F.lit(True)), "digest", "left").withColumn("dead", F.col("l_").isNull()).drop("l_")
+    return sl.freed_ranges(s, ends)
 
 
 _ROOTS = "roots AS (SELECT o_custkey, list(o_orderkey) AS k FROM orders WHERE o_orderkey % 5 NOT IN (3, 4) AND o_orderdate >= TIMESTAMP '2000-06-01' - INTERVAL 700 DAY GROUP BY o_custkey)"
@@ -539,7 +543,7 @@ def g18(spark, d):
     """Only the parts that are asked for are planned."""
     from ..operators.introspect import introspect
 
-    return introspect(slab(spark, d), slab_ends(spark, d), ["chunks", "present", "slabs", "blocks"])
+    return introspect(*slab_and_ends(spark, d), ["chunks", "present", "slabs", "blocks"])
 
 
 @query("G23_closure_pipeline", f"""WITH {CATALOG}, p AS (SELECT p_partkey, '/store/' || substr(translate(md5(p_partkey::VARCHAR), 'e', 'g'), 1, 32) || '-' || name AS path, name FROM catalog WHERE name NOT LIKE '%red%')

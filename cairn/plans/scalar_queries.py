@@ -91,7 +91,7 @@ def x14(spark, d):
     return page_archives(spark, d).select("page_id", T.compression(F.col("archive")).alias("codec"))
 
 
-@query("X16_include_pattern", rf"WITH {CATALOG} SELECT p_partkey, CASE WHEN regexp_matches(name, '^(.+?)-([\d.-]+)$') THEN regexp_extract(name, '^(.+?)-([\d.-]+)$', 1) || '-.*' END AS pattern FROM catalog")
+@query("X16_include_pattern", rf"WITH {CATALOG} SELECT p_partkey, CASE WHEN regexp_matches(name, '-[0-9.]+$') THEN regexp_replace(name, '(-[0-9.]*)+$', '-.*') END AS pattern FROM catalog")
 def x16(spark, d):
     return catalog(spark, d).select("p_partkey", T.include_pattern(F.col("name")).alias("pattern"))
 

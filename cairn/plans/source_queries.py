@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, digests
+from ..session import shared_folder
 from ..sources import archives, texts
 from ..streaming import events as ev
 from .adapters import CATALOG, CHUNKS, ENTRIES, PATHS, catalog, chunks, entries, events, store_paths, table
@@ -16,8 +17,7 @@ from .registry import query
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and the executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/cairn-scratch"
-    return f"{root.rstrip('/')}/cairn/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/cairn/{name}-{uuid.uuid4().hex}"
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:

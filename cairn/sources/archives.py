@@ -10,6 +10,7 @@ import io
 import lzma
 import struct
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -150,7 +151,7 @@ def scan(archives: DataFrame, name: str = "name", content: str = "content", kind
             for archive, data in zip(batch["name"], batch["content"]):
                 try:
                     rows = [(archive, *r, None) for r in read(plain(bytes(data)))]
-                except (ValueError, tarfile.TarError, EOFError, OSError, struct.error, lzma.LZMAError) as e:
+                except (ValueError, tarfile.TarError, EOFError, OSError, struct.error, lzma.LZMAError, zlib.error, zstandard.ZstdError, RecursionError, MemoryError, OverflowError) as e:
                     rows = [(archive, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
                 yield pd.DataFrame(rows, columns=["archive", "path", "type", "size", "executable", "data", "error"]).astype({"type": "Int32", "size": "Int64", "executable": "boolean"})
 
@@ -176,7 +177,7 @@ def pack(files: DataFrame, kind: str = "tree", codec: str = "none") -> DataFrame
                     info.size, info.linkname = (len(d), "") if k == REGULAR else (0, d.decode() if k == SYMLINK else "")
                     t.addfile(info, io.BytesIO(d) if k == REGULAR else None)
             out = buffer.getvalue()
-        return {"none": lambda b: b, "gz": lambda b: gzip.compress(b, mtime=0), "xz": lzma.compress, "zstd": lambda b: zstandard.ZstdCompressor().compress(b)}[codec](out)
+        return {"none": lambda b: b, "gz": lambda b: gzip.compress(b, mtime=0), "xz": lzma.compress, "zstd": lambda b: zstandard.ZstdCompressor(write_checksum=True).compress(b)}[codec](out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -213,3 +213,56 @@ def test_first_fit_against_a_loop(spark):
         f.extend([100] * (at == len(f)))
         f[at] -= s
         assert got[g, o] == at
+
+
+def test_include_patterns_and_recompressed_classes(spark):
+    from cairn.functions import text
+
+    want = {
+        "hello-2.12": "hello-.*", "openssl-3.0.13-man": "openssl-.*-man", "a-b-1.2-3": "a-b-.*", "linux-firmware-20240101-zstd": "linux-firmware-.*-zstd", "wl-firmware-xz": "wl-firmware-xz",
+        "spotify-1.2.3.gabc": "spotify-.*", "webkitgtk-2.4+abi=4.0": "webkitgtk-.*", "hello": None, "hello-2.12-xz": None, "bash-5.2p1": None, "1-2": "1-.*",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "name string").select("name", text.include_pattern(F.col("name")).alias("p")).collect()
+    assert {r["name"]: r["p"] for r in rows} == want
+    kinds = {"/share/man/man1/a.1.gz": "gz", "/lib/modules/6.1/kernel/d/x.ko.xz": "xz", "/lib/modules/6.1/kernel/kheaders.ko.xz": "none", "/lib/modules/6.1/extra/x.ko.xz": "none", "/bin/a.gz": "none", "x": "none", "/lib/modules//kernel/x.ko.xz": "none"}
+    rows = spark.createDataFrame([(k,) for k in kinds], "p string").select("p", text.recompress_class(F.col("p")).alias("c")).collect()
+    assert {r["p"]: r["c"] for r in rows} == kinds
+    pairs = [("", "a"), ("abc", "abd"), ("abc", "abc"), ("ab", "abc"), ("xbc", "abc"), ("äöü", "äöx")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", text.common_prefix(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r["n"] for r in got] == [0, 2, 3, 2, 0, 2]
+
+
+def test_flipped_bits_give_error_rows_only(spark):
+    rnd = random.Random(7)
+    made = archives.pack(spark.createDataFrame([("x", "/a/b", True, b"some text " * 50)], "name string, path string, executable boolean, data binary"), "tree", "none").first()["content"]
+    import gzip
+    import lzma
+
+    import zstandard
+
+    damaged = []
+    for blob in (gzip.compress(bytes(made)), zstandard.ZstdCompressor(write_checksum=True).compress(bytes(made)), lzma.compress(bytes(made)), bytes(made)):
+        for _ in range(60):
+            b = bytearray(blob)
+            b[rnd.randrange(6, len(b))] ^= 1 << rnd.randrange(8)
+            damaged.append((f"d{len(damaged)}", bytes(b)))
+    rows = archives.scan(spark.createDataFrame(damaged, "name string, content binary")).collect()
+    assert {r["archive"] for r in rows} == {n for n, _ in damaged} and sum(r["error"] is not None for r in rows) > 100
+
+
+def test_closure_of_a_long_chain(spark):
+    from cairn.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)], "src int, dst int")
+    assert gc.closure(edges, spark.createDataFrame([(0,)], "node int")).count() == 71
+
+
+def test_next_addresses_over_ranges(spark):
+    rnd = random.Random(5)
+    addresses = sorted(rnd.sample(range(2000), 300))
+    rows = [(s, a, rnd.random() < 0.7) for s in (1, 2) for a in addresses]
+    frame = spark.createDataFrame(rows, "slab_id int, addr long, dead boolean")
+    got = {(r["slab_id"], r["addr"]): r["n"] for r in slab._next(frame, F.when(~F.col("dead"), F.col("addr")), "n", width=64).collect()}
+    for s, a, _ in rows:
+        assert got[s, a] == min((b for t, b, dead in rows if t == s and b > a and not dead), default=None)
