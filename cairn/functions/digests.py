@@ -124,3 +124,33 @@ def split_by_lengths(data: Column, lengths: Column) -> Column:
 
 def padded_stats(stats: Column, size: int = 256) -> Column:
     return F.rpad(F.to_json(stats), size, "\n")
+
+
+MASK32 = 0xFFFFFFFF
+# fixed values of the public 32-bit mix: two rotations, a factor, and the golden-ratio multiplier
+WORD_TURNS, WORD_FACTOR, WORD_MULTIPLIER = (7, 20), 9, 0x61C88647
+
+
+def word_hash(data: Column, salt: int = 0) -> Column:
+    """A 32-bit mix over the bytes' little-endian words (zeros fill the last one), as a long."""
+    digits = F.rpad(F.hex(data), (F.ceil(F.octet_length(data) / 4) * 8).cast("int"), F.lit("0"))
+
+    def word(i: Column) -> Column:
+        two = lambda k: F.substring(digits, i * 8 + k, F.lit(2))
+        return F.conv(F.concat(two(7), two(5), two(3), two(1)), 16, 10).cast("long")
+
+    def turned(v: Column, by: int) -> Column:
+        return (F.shiftleft(v, by).bitwiseOR(F.shiftright(v, 32 - by))).bitwiseAND(F.lit(MASK32))
+
+    def spread(v: Column) -> Column:
+        return (v * WORD_MULTIPLIER).bitwiseAND(F.lit(MASK32))
+
+    def mixed(acc: Column, i: Column) -> Column:
+        x = acc["x"].bitwiseXOR(word(i))
+        y = acc["y"].bitwiseXOR(x)
+        return F.struct((turned(x, WORD_TURNS[0]) + y).bitwiseAND(F.lit(MASK32)).alias("x"), (turned(y, WORD_TURNS[1]) * WORD_FACTOR).bitwiseAND(F.lit(MASK32)).alias("y"))
+
+    n = F.length(digits) / 8
+    places = F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(0).cast("long").alias("x"), F.lit(salt).cast("long").alias("y"))
+    return F.aggregate(places, start, mixed, lambda acc: spread(acc["y"].bitwiseXOR(spread(acc["x"]))))

@@ -152,6 +152,16 @@ def extended_plan(chunks: DataFrame, targets: DataFrame, present: DataFrame, mos
     return d.groupBy("key").applyInArrow(run, f"key {kinds['key']}, request int, source {kinds['source']}, side string, digest {kinds['digest']}, size long")
 
 
+def prefetch(chunks: DataFrame, directory: Column, present: DataFrame, image: str = "package", order: str = "place", most_chunks: int = MOST_CHUNKS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Image, digest, order, request: what a subtree of each image still needs: the digests of the files under the
+    directory, each once at its first place, less those present, in requests. chunks: image, path, order, digest, chunk_size."""
+    from ..functions.text import under
+
+    wanted = chunks.filter(under(F.col("path"), directory)).groupBy(image, "digest").agg(F.min(order).alias(order), F.max("chunk_size").alias("chunk_size"))
+    wanted = wanted.join(present.select("digest").distinct(), "digest", "left_anti")
+    return wanted.join(packed(wanted, image, order, "chunk_size", most_chunks, most_bytes), [image, order])
+
+
 def recompressible(files: DataFrame, most_chunks: int = MOST_CHUNKS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Compressed files that are compared whole: both sides fit one request, and the base is all present.
     files: path, chunks, bytes, base_chunks, base_bytes, base_present."""

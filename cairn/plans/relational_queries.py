@@ -367,6 +367,18 @@ def j13(spark, d):
     return planning.missing(c.filter("image % 2 = 0").select("digest"), c.filter("image % 10 = 1"), c.filter("image % 10 = 3"))
 
 
+@query("G20_prefetch", f"""WITH RECURSIVE {CHUNKS}, want AS (SELECT package, digest, min(doc_id * 100000 + seq) AS place, max(chunk_size)::BIGINT AS size FROM chunks WHERE starts_with(path, '/en/') GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY place) AS k FROM want WHERE digest NOT IN (SELECT digest FROM chunks WHERE starts_with(path, '/de/')) AND substr(digest, 1, 1) > '3'),
+fold AS (SELECT package, place, k, size, 0 AS op, 1 AS n, size AS b FROM g WHERE k = 1 UNION ALL SELECT g.package, g.place, g.k, g.size, fold.op + (fold.n >= 40 OR fold.b >= 9000)::INT, CASE WHEN fold.n >= 40 OR fold.b >= 9000 THEN 1 ELSE fold.n + 1 END, CASE WHEN fold.n >= 40 OR fold.b >= 9000 THEN g.size ELSE fold.b + g.size END FROM fold JOIN g ON g.package = fold.package AND g.k = fold.k + 1)
+SELECT package, op AS request, count(*) AS chunks, sum(size)::BIGINT AS bytes, min(place) AS first FROM fold GROUP BY ALL""")
+def g20(spark, d):
+    """The requests that fetch the rest of a directory of every package."""
+    c = chunks(spark, d).withColumn("place", F.col("doc_id") * 100_000 + F.col("seq"))
+    held = c.filter(F.startswith("path", F.lit("/de/"))).select("digest").union(c.filter(F.substring("digest", 1, 1) <= "3").select("digest"))
+    out = planning.prefetch(c, F.lit("/en"), held, most_chunks=40, most_bytes=9000)
+    return out.groupBy("package", "request").agg(F.count("*").alias("chunks"), F.sum("chunk_size").alias("bytes"), F.min("place").alias("first"))
+
+
 @query("J14_retry_list", f"WITH {IMAGES} SELECT p_partkey AS op, coalesce(any_value(state), '') AS upstream FROM part LEFT JOIN images ON image = p_partkey * 3 WHERE p_partkey % 5 = 0 GROUP BY 1")
 def j14(spark, d):
     ops = table(spark, d, "part").filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("op"), (F.col("p_partkey") * 3).alias("image"))

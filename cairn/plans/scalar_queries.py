@@ -258,6 +258,14 @@ def h09(spark, d):
     return entries(spark, d).select("doc_id", F.crc32("payload").alias("crc"))
 
 
+@query("H10_word_hash", """WITH RECURSIVE d AS (SELECT p_partkey, rpad(hex(encode(p_name)), (ceil(octet_length(encode(p_name)) / 4.0) * 8)::INT, '0') AS h FROM part),
+f AS (SELECT p_partkey, h, 0 AS i, 0::BIGINT AS x, 77::BIGINT AS y FROM d UNION ALL SELECT p_partkey, h, i + 1, ((((a << 7) | (a >> 25)) & 4294967295) + b) & 4294967295, ((((b << 20) | (b >> 12)) & 4294967295) * 9) & 4294967295
+FROM (SELECT *, xor(y, a) AS b FROM (SELECT *, xor(x, ('0x' || substr(h, i * 8 + 7, 2) || substr(h, i * 8 + 5, 2) || substr(h, i * 8 + 3, 2) || substr(h, i * 8 + 1, 2))::BIGINT) AS a FROM f WHERE i * 8 < length(h)))),
+e AS (SELECT p_partkey, x, y FROM f WHERE i * 8 = length(h)) SELECT p_partkey, (xor(y, (x * 1640531527) & 4294967295) * 1640531527) & 4294967295 AS hash FROM e""")
+def h10(spark, d):
+    return table(spark, d, "part").select("p_partkey", D.word_hash(F.encode("p_name", "UTF-8"), 77).alias("hash"))
+
+
 @query("H11_packed", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 65536 AS slab, l_partkey AS addr, '00' || printf('%04x', l_suppkey % 65536) || printf('%08x', l_partkey) || printf('%08x', l_partkey + 7) AS punch FROM lineitem")
 def h11(spark, d):
     li = table(spark, d, "lineitem").withColumn("p", D.packed_location(F.col("l_suppkey") % 65536, F.col("l_partkey")))

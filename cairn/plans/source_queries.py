@@ -212,6 +212,25 @@ def a16(spark, d):
     return s.groupBy("state").agg(F.count("*").alias("n"), F.bool_or(F.col("state") == "MountError").alias("failed"))
 
 
+_GATED = """e AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 3 WHEN 'click' THEN 4 WHEN 'purchase' THEN 5 ELSE 0 END AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+g AS (SELECT user_id, event_id, k, CASE WHEN w = 1 THEN 1 ELSE 0 END AS s, w = 1 AS accepted FROM e WHERE k = 1 UNION ALL
+SELECT n.user_id, n.event_id, n.k, CASE WHEN n.ok THEN n.w ELSE n.s END, n.ok FROM (SELECT e.*, g.s, (e.w = 1 AND g.s IN (0, 3, 5)) OR (e.w IN (2, 3) AND g.s = 1) OR (e.w = 4 AND g.s = 2) OR (e.w = 5 AND g.s = 4) AS ok FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1) n),
+gated AS (SELECT user_id, event_id, ['Unknown', 'Requested', 'Mounted', 'MountError', 'UnmountRequested', 'Unmounted'][s + 1] AS state, accepted FROM g)"""
+
+
+@query("T06_gated_states", f"WITH RECURSIVE {_GATED} SELECT * FROM gated")
+def t06_gated(spark, d):
+    """Each event, with the state after it and whether it was allowed from the one before."""
+    return ev.gated(events(spark, d), "user_id", "event_id")
+
+
+@query("K05_gated_upsert", f"WITH RECURSIVE {_GATED} SELECT user_id, arg_max(state, event_id) AS state, max(event_id) FILTER (accepted) AS written, count(*) FILTER (NOT accepted) AS refused FROM gated GROUP BY user_id")
+def k05(spark, d):
+    """The record of each key after its read-modify-writes; refused ones leave it as it was."""
+    g = ev.gated(events(spark, d), "user_id", "event_id")
+    return g.groupBy("user_id").agg(F.max_by("state", "event_id").alias("state"), F.max(F.when(F.col("accepted"), F.col("event_id"))).alias("written"), F.count_if(~F.col("accepted")).alias("refused"))
+
+
 @query("T05_upsert_stream", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def t05(spark, d):
     """A stream of the events into a snapshot per batch, the latest row of each key winning."""

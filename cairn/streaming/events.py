@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-#: order of an image's states; an event moves it on only as the table below allows
+#: the state that an event announces; `states` takes the last one as it is, `gated` only what MOVES allows
 TRANSITIONS = {"signup": "Requested", "view": "Mounted", "error": "MountError", "click": "UnmountRequested", "purchase": "Unmounted"}
+STATES = ("Unknown", "Requested", "Mounted", "MountError", "UnmountRequested", "Unmounted")
+#: from which states a state may be entered
+MOVES = {"Requested": ("Unknown", "MountError", "Unmounted"), "Mounted": ("Requested",), "MountError": ("Requested",), "UnmountRequested": ("Mounted",), "Unmounted": ("UnmountRequested",)}
 
 
 def sessions(events: DataFrame, key: str, gap: str, watermark: str | None = None) -> DataFrame:
@@ -108,3 +111,22 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     root = jvm.org.apache.hadoop.fs.Path(path)
     names = [f.getPath().getName() for f in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
     return spark.read.parquet(f"{path}/v{max(int(n[1:]) for n in names if n[1:].isdigit())}")
+
+
+def gated(events: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, state, accepted): a key's record is read, moved on if MOVES allows the event's state from its own,
+    and written back; else the event is refused and the record stays. Streamed along sorted keys."""
+    from ..operators.ordered import fold
+
+    wanted = F.lit(0)
+    for kind, state in TRANSITIONS.items():
+        wanted = F.when(F.col("event_type") == kind, STATES.index(state)).otherwise(wanted)
+    allowed = {(STATES.index(a), STATES.index(b)) for b, froms in MOVES.items() for a in froms}
+
+    def step(state: tuple, value: int) -> tuple[tuple, int]:
+        moved = (state[0], value) in allowed
+        return ((value,) if moved else state), (value if moved else state[0]) * 2 + moved
+
+    out = fold(events, key, order, wanted, "int", (0,), step, "code")
+    names = F.array(*map(F.lit, STATES))
+    return out.select(key, order, F.get(names, F.floor(F.col("code") / 2).cast("int")).alias("state"), (F.col("code") % 2 == 1).alias("accepted"))
