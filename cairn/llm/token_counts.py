@@ -4,8 +4,9 @@ The cache is a table of (version, digest, n_tokens): version is the digest of th
 and version, digest that of the text (a null text counts as empty; nothing else is normalised, since counts must
 be those of the whole text as it stands). Distinct texts are anti-joined with it, only the misses are
 encoded, and their counts are appended; then all documents join the cache. Texts move once, to find the
-distinct ones, and copies are dropped before that move. Appends of a failed or repeated job leave either
-no row or the same row again, so reading takes one row per digest.
+distinct ones, and copies are dropped before that move. Digests of more than one row in MOST_HOT are fewer than
+MOST_HOT: their counts are broadcast, and their rows are dealt by number in the join. Appends of a failed or
+repeated job leave either no row or the same row again, so reading takes one row per digest.
 
 Rows that repeat stay rows. Empty table: empty result, and nothing is appended.
 """
@@ -20,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_or_empty
+from .common import fresh_path, text_or_empty, written
 from .units import MOST_UNITS, units
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
+MOST_HOT = 2000
 BLANK = "▁"
 _loaded: dict = {}
 
@@ -110,6 +112,17 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def join_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with n_tokens of their digest, however many share one. Rows of a hot digest get a key that no digest
+    has (a row number is shorter), so they are spread over the tasks of the join that looks up the others."""
+    least = rows.count() // MOST_HOT
+    hot = rows.groupBy("digest").agg(F.count("*").alias("rows_")).filter(F.col("rows_") > least).select("digest")
+    known = hot.join(counts, "digest").withColumnRenamed("n_tokens", "hot_")
+    number = F.monotonically_increasing_id().cast("string").cast("binary")
+    dealt = rows.join(F.broadcast(known), "digest", "left").withColumn("digest", F.when(F.col("hot_").isNull(), F.col("digest")).otherwise(number))
+    return dealt.join(counts, "digest", "left").withColumn("n_tokens", F.coalesce("hot_", "n_tokens")).drop("hot_")
+
+
 def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row. cache: a folder of the table, made if missing."""
     spark = docs.sparkSession
@@ -119,5 +132,5 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     distinct = keyed.select("digest", "text").dropDuplicates(["digest"])
     misses = distinct.join(read_cache(spark, cache, version).select("digest"), "digest", "left_anti")
     encode_misses(misses, path).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    out = keyed.select("doc_id", "n_bytes", "digest").join(read_cache(spark, cache, version), "digest", "left")
+    out = join_counts(written(keyed.drop("text"), "digests"), read_cache(spark, cache, version))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from cairn.llm.common import Scratch
 from cairn.llm import decontaminate, fingerprints, lm, minhash, personal_data, token_counts, token_files, toxicity
@@ -48,6 +48,20 @@ def test_counts_with_a_tokenizers_file(spark):
     assert [r["n_tokens"] for r in got] == [len(t.encode(x or "", add_special_tokens=False).ids) for x in [*AWKWARD, CYRILLIC]]
 
 
+def test_counts_of_hot_digests_and_repeated_ids(spark):
+    # one digest has over half of the rows; more digests than may be hot; ids repeat and one is null
+    ids = [*range(3000), *range(3000), None]
+    rows = spark.createDataFrame([(d, 1, (f"{i % 2500}" if i % 2 else "hot").encode()) for i, d in enumerate(ids)], "doc_id long, n_bytes long, digest binary").cache()
+    counts = spark.createDataFrame([(str(k).encode(), k) for k in range(2500)] + [(b"hot", 7)], "digest binary, n_tokens long")
+    got = sorted(token_counts.join_counts(rows, counts).select("doc_id", "n_tokens").collect(), key=str)
+    assert [tuple(r) for r in got] == sorted(((d, i % 2500 if i % 2 else 7) for i, d in enumerate(ids)), key=lambda r: str(spark_row(r)))
+    rows.unpersist()
+
+
+def spark_row(r):
+    return Row(doc_id=r[0], n_tokens=r[1])
+
+
 # ---- token files
 
 
