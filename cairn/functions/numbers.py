@@ -77,3 +77,8 @@ def read_ahead(image_reads: Column, file_reads: Column, first: int = 8, most: in
     size = F.least(F.lit(most), F.lit(first) * F.pow(F.lit(2), F.least(n, F.lit(doublings)))).cast("int")
     ops = F.least(F.lit(most_ops), F.pow(F.lit(2), F.least(F.greatest(n - doublings, F.lit(0)), F.lit(most_ops)))).cast("int")
     return size, ops
+
+
+def retryable(code: Column) -> Column:
+    """Asked again: no answer at all (null), or a server that is away for now."""
+    return code.isNull() | code.isin(502, 503, 504)

@@ -43,3 +43,22 @@ def _other(rows: DataFrame) -> DataFrame:
     own = F.col("last") == F.struct("name", "sph")
     d = rows.withColumn("base", F.when(own, F.col("before")).otherwise(F.col("last"))).filter("base is not null")
     return d.select("name", "sph", F.col("base.name").alias("base_name"), F.col("base.sph").alias("base_sph"), F.col("m").alias("match"))
+
+
+def two_indexes(stored: DataFrame, upserts: DataFrame, version: str) -> DataFrame:
+    """The catalog's rows (index, key, value) after upserts(sph, name, version): `name` has name and hash as its key,
+    `sph` the hash with the name as value. Both are made from the last write of each hash, so that they agree."""
+    from .chunking import latest
+
+    columns = ["sph", "name", version]
+    rows = latest(stored.select(*columns).unionByName(upserts.select(*columns)), ["sph"], version)
+    by_name = F.struct(F.lit("name").alias("index"), F.concat_ws("/", "name", "sph").alias("key"), F.lit("").alias("value"))
+    by_hash = F.struct(F.lit("sph").alias("index"), F.col("sph").alias("key"), F.col("name").alias("value"))
+    return rows.select(F.inline(F.array(by_name, by_hash)))
+
+
+def answers(built: DataFrame, stored: DataFrame) -> DataFrame:
+    """What the cache takes of built(key, alias, digest): a row (key, digest) under the key and one under the alias (none
+    where it is null), but for keys that stored(key) has. Of several answers to a key the least digest counts."""
+    rows = built.select(F.explode(F.array("key", "alias")).alias("key"), "digest").filter("key is not null")
+    return rows.groupBy("key").agg(F.min("digest").alias("digest")).join(stored.select("key"), "key", "left_anti")

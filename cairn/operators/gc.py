@@ -81,6 +81,17 @@ def sweep(objects: DataFrame, good: DataFrame) -> DataFrame:
     return d.join(hit, ["kind", "id"], "left").withColumn("keep", (F.col("kind") == "always") | F.col("good_").isNotNull()).drop("good_", "id")
 
 
+def local(slab: DataFrame, ends: DataFrame, refs: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """G16 from slab(digest, slab_id, addr), refs(digest, owner) and keep(owner): the slab's chunks with n_refs, n_kept, `dead` (no
+    reference stays; a chunk without any is dead) and `rewrite` (some go, some stay), and the ranges to punch."""
+    from .refs import kept_refs
+    from .slab import freed_ranges
+
+    chunks = slab.join(kept_refs(refs, keep).drop("rewrite"), "digest", "left").fillna(0, ["n_refs", "n_kept"])
+    chunks = chunks.withColumns({"dead": F.col("n_kept") == 0, "rewrite": (F.col("n_kept") > 0) & (F.col("n_kept") < F.col("n_refs"))})
+    return chunks, freed_ranges(chunks, ends)
+
+
 def totals(swept: DataFrame) -> DataFrame:
     """Objects and bytes in all, removed and kept; each object counts once."""
     gone = ~F.col("keep")

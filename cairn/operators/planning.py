@@ -30,6 +30,19 @@ def blank_component(path: Column, n: int = 3) -> Column:
     return F.regexp_replace(path, "^((?:/[^/]+){%d})/[^/]+" % (n - 1), "$1/*")
 
 
+def base_files(wanted: DataFrame, base: DataFrame, loose: Column | bool = True) -> DataFrame:
+    """Adds to wanted(pair, path) the base_path of its pair's base(pair, path): the same path, or, for a compressed kernel
+    module whose pair is `loose` (a pair of kernels), the first path that differs in the version's directory alone; else null.
+    A pattern a file would be a nested loop; with the directory blanked it is an equi-join."""
+    module = lambda path: path.startswith("/lib/modules/") & path.endswith(".ko.xz")
+    blanked = lambda path: F.when(module(path), blank_component(path)).otherwise(path).alias("blank_")
+    held = base.select("pair", "path", F.col("path").alias("same_")).distinct()
+    other = base.filter(module(F.col("path"))).groupBy("pair", blanked(F.col("path"))).agg(F.min("path").alias("other_"))
+    d = wanted.join(held, ["pair", "path"], "left").withColumn("blank_", blanked(F.col("path"))).join(other, ["pair", "blank_"], "left")
+    swapped = F.when(module(F.col("path")) & (F.lit(loose) if isinstance(loose, bool) else loose), F.col("other_"))
+    return d.withColumn("base_path", F.coalesce("same_", swapped)).drop("blank_", "same_", "other_")
+
+
 def missing(wanted: DataFrame, *held: DataFrame) -> DataFrame:
     """Wanted digests, each once, that none of the others (present, on their way, planned) holds."""
     d = wanted.dropDuplicates(["digest"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import digests, text
+from ..functions import digests, numbers, text
 from ..operators import packing, slab as sl
 from ..streaming import events as ev
 from .adapters import ARCHIVES, CATALOG, CHUNKS, IMAGES, PATHS, catalog, chunks, events, images, page_archives, store_paths, table
@@ -68,7 +68,7 @@ def t11(spark, d):
 def t09(spark, d):
     """Asked again: no answer at all, or one of three server states."""
     code = F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_orderkey") % 600)
-    return table(spark, d, "orders").select("o_orderkey", (code.isNull() | code.isin(502, 503, 504)).alias("retry"))
+    return table(spark, d, "orders").select("o_orderkey", numbers.retryable(code).alias("retry"))
 
 
 @query("X15_log_line", "SELECT o_orderkey, printf('%s: %d chunks, %d bytes', o_orderstatus, o_custkey, floor(o_totalprice)::BIGINT) AS line FROM orders")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import catalog, chunking, gc, ordered, planning, refs, reports, slab
+from cairn.operators.worklog import WorkLog
 from cairn.plans.adapters import chunks, entries, events, image_chunks
 from cairn.sources import archives, texts
 from cairn.streaming import events as ev
@@ -37,6 +38,57 @@ def test_plan_of_several_sources(spark):
     assert [(r["source"], r["request"], r["digest"]) for r in got] == picks(four, 9, 99, 3, 1)
 
 
+def test_work_log_outlives_a_crash(spark, tmp_path):
+    """What was intended and not done is found again; a run that runs again changes nothing; later intents count anew."""
+    log = lambda: WorkLog(spark, f"file://{tmp_path}/log", "k long, end long")
+    rows = lambda *ks: spark.createDataFrame([(k, k + 9) for k in ks], "k long, end long")
+    left = lambda: sorted(r["k"] for r in log().pending().collect())
+    assert left() == []
+    log().intend(rows(1, 2, 3, 3), 1)
+    log().intend(rows(1, 2, 3), 1)
+    assert left() == [1, 2, 3]
+    log().succeeded(rows(1), 1)
+    log().succeeded(log().pending().filter("k = 2"), 1)
+    log().succeeded(log().pending().filter("k = 2"), 1)
+    assert left() == [3]
+    log().intend(rows(2, 4), 2)
+    log().intend(rows(), 3)
+    assert left() == [2, 3, 4]
+    log().succeeded(rows(2, 3, 4), 3)
+    assert left() == []
+
+
+def test_records_in_step(spark):
+    """Both indexes from the last write of a hash; answers under key and alias, the least of several."""
+    up = "sph string, name string, v int"
+    got = catalog.two_indexes(spark.createDataFrame([("a", "old", 1), ("b", "kept", 1)], up), spark.createDataFrame([("a", "new", 2), ("c", "new", 3)], up), "v").collect()
+    assert sorted(map(tuple, got)) == [("name", "kept/b", ""), ("name", "new/a", ""), ("name", "new/c", ""), ("sph", "a", "new"), ("sph", "b", "kept"), ("sph", "c", "new")]
+    built = spark.createDataFrame([("k1", "e", "y"), ("k2", "e", "x"), ("k3", None, "z"), ("k4", "f", "w")], "key string, alias string, digest string")
+    got = catalog.answers(built, spark.createDataFrame([("k1",), ("f",)], "key string")).collect()
+    assert sorted(map(tuple, got)) == [("e", "x"), ("k2", "x"), ("k3", "z"), ("k4", "w")]
+
+
+def test_base_files_of_other_versions(spark):
+    """The same path first, then the first module of another version; other files and other pairs find nothing."""
+    f = lambda rows: spark.createDataFrame(rows, "pair int, path string")
+    m = "/lib/modules/{}/kernel/net/{}".format
+    base = f([(1, m("6.1", "a.ko.xz")), (1, m("6.3", "a.ko.xz")), (1, m("6.2", "b.ko.xz")), (1, m("6.1", "c.ko")), (2, m("6.9", "a.ko.xz"))])
+    wanted = f([(1, m("6.2", "a.ko.xz")), (1, m("6.2", "b.ko.xz")), (1, m("6.2", "c.ko")), (3, m("6.2", "a.ko.xz")), (1, m("*", "a.ko.xz")), (2, "/share/x"), (2, None)])
+    got = {(r["pair"], r["path"]): r["base_path"] for r in planning.base_files(wanted, base).collect()}
+    assert len(got) == 7 and {k: v for k, v in got.items() if v} == {(1, m("6.2", "a.ko.xz")): m("6.1", "a.ko.xz"), (1, m("6.2", "b.ko.xz")): m("6.2", "b.ko.xz"), (1, m("*", "a.ko.xz")): m("6.1", "a.ko.xz")}
+    assert planning.base_files(wanted, base, F.col("pair") != 1).filter("base_path is not null").count() == 1
+
+
+def test_local_collection(spark):
+    """A chunk whose references all go, or that has none, leaves its range; one that loses some is written anew."""
+    s = spark.createDataFrame([("a", 0, 4), ("b", 0, 5), ("c", 0, 9), ("d", 0, 12), ("e", 1, 4)], "digest string, slab_id int, addr long")
+    ends = spark.createDataFrame([(0, 20), (1, 6)], "slab_id int, slab_end long")
+    owners = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("d", 1), ("e", 2)], "digest string, owner int")
+    chunks_, ranges = gc.local(s, ends, owners, spark.createDataFrame([(1,)], "owner int"))
+    assert sorted((r["digest"], r["dead"], r["rewrite"]) for r in chunks_.collect()) == [("a", False, True), ("b", True, False), ("c", True, False), ("d", False, False), ("e", True, False)]
+    assert sorted((r["slab_id"], r["addr"], r["end"]) for r in ranges.collect()) == [(0, 5, 12), (1, 4, 6)]
+
+
 def test_closure_and_store_of_all_rows(spark):
     """J16 from every part and K15 with every chunk, against brute force."""
     from cairn.plans import QUERIES
