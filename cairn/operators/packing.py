@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running_total
+from .ordered import fold, running_total
 
 
 def first_fit(rows: DataFrame, group: str, order: str, size: str, room: int = 4096, look_back: int = 16) -> DataFrame:
     """Each item of a group, in order, goes into the first of the last `look_back` blocks that has room for
-    it, else into a new block. Each choice depends on the ones before, so a group (a directory) is one fold."""
-
-    def pack(d: pd.DataFrame) -> pd.DataFrame:
-        free: list[int] = []
-        out = []
-        d = d.sort_values("o")
-        for s in d["s"]:
-            start = max(0, len(free) - look_back)
-            at = next((i for i in range(start, len(free)) if free[i] >= s), len(free))
-            if at == len(free):
-                free.append(room)
-            free[at] -= s
-            out.append(at)
-        return pd.DataFrame({"g": d["g"], "o": d["o"], "block": out})
-
-    kinds = dict(rows.dtypes)
-    d = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.least(F.col(size).cast("long"), F.lit(room)).alias("s"))
-    packed = d.groupBy("g").applyInPandas(pack, f"g {kinds[group]}, o {kinds[order]}, block long")
-    return packed.select(F.col("g").alias(group), F.col("o").alias(order), "block")
+    it, else into a new block. Each choice depends on the ones before, so a group (a directory) is one fold; it
+    holds only the room left in those blocks."""
+
+    def step(state: tuple, wanted: int) -> tuple[tuple, int]:
+        gone, free = state  # blocks that are out of sight, and what is free in the others
+        at = next((i for i, left in enumerate(free) if left >= wanted), len(free))
+        if at == len(free):
+            free = (*free, room)
+        free = (*free[:at], free[at] - wanted, *free[at + 1 :])
+        block = gone + at
+        over = max(0, len(free) - look_back)
+        return (gone + over, free[over:]), block
+
+    return fold(rows, group, order, F.least(F.col(size).cast("long"), F.lit(room)), "long", (0, ()), step, "block")
 
 
 def write_batches(rows: DataFrame, order: list[str], blocks: Column, most: int = 1000) -> DataFrame:
