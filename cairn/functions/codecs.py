@@ -38,6 +38,15 @@ def decompress(codec: str, data: Column) -> Column:
     return _each(DECOMPRESS, codec, data)
 
 
+def unpacked(codec: Column, data: Column) -> Column:
+    """Data by a codec of its row; without one (null) as it is."""
+
+    def run(codecs: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else bytes(v) if c is None else DECOMPRESS[c](bytes(v)) for c, v in zip(codecs, values)], dtype=object)
+
+    return F.pandas_udf(run, "binary")(codec, data)
+
+
 def _dictionary(base: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(base, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(base) >= 8 else None
 

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, digests
+from ..operators import diffing
+from ..operators.chunking import cut, put_if_absent
 from ..session import shared_folder
 from ..sources import archives, texts
 from ..streaming import events as ev
-from .adapters import CATALOG, CHUNKS, ENTRIES, PATHS, catalog, chunks, entries, events, store_paths, table
+from .adapters import CATALOG, CHUNKS, ENTRIES, PATHS, PIECE, catalog, chunks, entries, events, store_paths, table
 from .registry import query
 
 
@@ -163,6 +165,27 @@ def h13(spark, d):
     return patches(spark, d).select("doc_id", F.octet_length("payload").alias("bytes"), F.octet_length("patch").alias("patch_bytes"))
 
 
+@query("G14_diff_server", """WITH e AS (SELECT doc_id, text, octet_length(encode(text))::BIGINT AS size FROM documents WHERE text IS NOT NULL),
+j AS (SELECT e.doc_id // 2 AS request, e.doc_id % 2 AS part, e.doc_id % 3 < 2 AS x, e.text, e.size, b.size AS base_size FROM e JOIN e b ON b.doc_id = e.doc_id - 3)
+SELECT request, count(*) FILTER (x) AS expands, sum(base_size)::BIGINT AS base_bytes, sum(size)::BIGINT AS wanted_bytes, string_agg(size::VARCHAR, ',' ORDER BY part) AS lengths, sha256(string_agg(text, '' ORDER BY part)) AS sha256 FROM j GROUP BY request""")
+def g14(spark, d):
+    """Documents stored in chunks, two of three packed, are asked for against those three before; two parts a request. The
+    patch, applied, gives the wanted data."""
+    form = F.when(F.col("doc_id") % 3 == 0, "gz").when(F.col("doc_id") % 3 == 1, "xz")
+    e = entries(spark, d).filter("payload is not null").withColumn("expand", form)
+    plain = e.filter("expand is null")
+    packed = [e.filter(F.col("expand") == c).withColumn("payload", codecs.compress(c, F.col("payload"))) for c in ("gz", "xz")]
+    stored = packed[0].unionByName(packed[1]).withColumn("size", F.octet_length("payload").cast("long")).unionByName(plain)
+    c = cut(stored, ["doc_id"], piece=PIECE)
+    series = c.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "digest"))), lambda x: x["digest"]).alias("digests"))
+    files = e.select("doc_id", "expand").join(series, "doc_id", "left").withColumn("digests", F.coalesce("digests", F.array().cast("array<string>")))
+    base = files.select((F.col("doc_id") + 3).alias("doc_id"), F.col("digests").alias("bases"))
+    asked = files.join(base, "doc_id").select(F.floor(F.col("doc_id") / 2).alias("request"), (F.col("doc_id") % 2).alias("part"), "expand", "bases", F.col("digests").alias("wanted"))
+    out = diffing.served(asked, put_if_absent(c.select("digest", "data"), None))
+    made = F.sha2(codecs.apply_patch(F.col("base_data"), F.col("patch")), 256)
+    return out.select("request", "expands", "base_bytes", "wanted_bytes", F.array_join(F.col("lengths").cast("array<string>"), ",").alias("lengths"), made.alias("sha256"))
+
+
 @query("G15_apply_patch", f"WITH {ENTRIES} SELECT doc_id, substr(sha256(payload), 1, 48) AS digest, true AS verified FROM entries WHERE doc_id > 0")
 def g15(spark, d):
     """Patched, then held against its digest."""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import catalog, chunking, gc, ordered, planning, refs, reports, slab
+from cairn.operators import catalog, chunking, diffing, gc, ordered, planning, refs, reports, slab
 from cairn.operators.worklog import WorkLog
 from cairn.plans.adapters import chunks, entries, events, image_chunks
 from cairn.sources import archives, texts
@@ -89,6 +89,24 @@ def test_local_collection(spark):
     assert sorted((r["slab_id"], r["addr"], r["end"]) for r in ranges.collect()) == [(0, 5, 12), (1, 4, 6)]
 
 
+def test_served_differences(spark):
+    """Parts in order, packed sides unpacked, an empty side is no data, a missing chunk raises."""
+    import gzip
+
+    from cairn.functions import codecs
+
+    packed = gzip.compress(b"packed and more")
+    store = spark.createDataFrame([("a", b"one "), ("b", b"two "), ("g", packed[:9]), ("h", packed[9:])], "digest string, data binary")
+    ask = lambda *rows: diffing.served(spark.createDataFrame(rows, "request int, part int, expand string, bases array<string>, wanted array<string>"), store)
+    got = ask((1, 1, None, ["a"], ["b", "a", "b"]), (1, 0, "gz", [], ["g", "h"]), (2, 0, None, [], []))
+    got = got.withColumn("made", codecs.apply_patch(F.col("base_data"), F.col("patch"))).orderBy("request").collect()
+    assert [bytes(r["made"]) for r in got] == [b"packed and moretwo one two ", b""]
+    fields = ("expands", "base_chunks", "wanted_chunks", "base_bytes", "wanted_bytes", "lengths")
+    assert [tuple(r[f] for f in fields) for r in got] == [(1, 1, 5, 4, 27, [15, 12]), (0, 0, 0, 0, 0, [0])]
+    with pytest.raises(Exception, match="no chunk z"):
+        ask((1, 0, None, ["a"], ["z"])).collect()
+
+
 def test_closure_and_store_of_all_rows(spark):
     """J16 from every part and K15 with every chunk, against brute force."""
     from cairn.plans import QUERIES
