@@ -52,9 +52,10 @@ def narrowed(value: Column, kind: str = "smallint") -> Column:
     return F.expr("1") * value.try_cast(kind)
 
 
-def buffer_class(size: Column) -> Column:
-    """Least power of two of at least 64 KiB that holds it."""
-    return F.greatest(F.lit(1 << 16), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(size, F.lit(1)))))).cast("long")
+def buffer_class(size: Column, most: int | None = None) -> Column:
+    """Least power of two of at least 64 KiB that holds it, up to 2**62. With `most`, that is the class of all larger sizes and of unknown ones."""
+    power = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.greatest(size, F.lit(1 << 16)) - 1)))
+    return F.when(size <= (most or 1 << 62), power).otherwise(F.lit(most)).cast("long")
 
 
 def percentage(part: Column, whole: Column) -> Column:

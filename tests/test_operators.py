@@ -2,11 +2,14 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions import numbers
 from cairn.operators import catalog, chunking, diffing, gc, ordered, planning, refs, reports, slab
 from cairn.operators.worklog import WorkLog
+from cairn.plans import ORACLES, QUERIES
 from cairn.plans.adapters import chunks, entries, events, image_chunks
 from cairn.sources import archives, texts
 from cairn.streaming import events as ev
@@ -336,3 +339,17 @@ def test_next_addresses_over_ranges(spark):
     got = {(r["slab_id"], r["addr"]): r["n"] for r in slab._next(frame, F.when(~F.col("dead"), F.col("addr")), "n", width=64).collect()}
     for s, a, _ in rows:
         assert got[s, a] == min((b for t, b, dead in rows if t == s and b > a and not dead), default=None)
+
+
+def test_buffer_classes_of_large_and_unknown_sizes(spark, tmp_path):
+    """The query has no class above 2 MiB, as its SQL has none; the function itself goes on, exactly."""
+    sizes = [0, 1638, 1639, 3276, 3277, 26214, 26215, 52428, 52429, 104858, 300_000, None]
+    rows = [(i, None if n is None else "x" * n, "en", "web") for i, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["N04_buffer_class"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ORACLES["N04_buffer_class"]).fetchall())
+    sizes = [None, 0, 1 << 16, (1 << 16) + 1, 1 << 21, (1 << 21) + 1, *(x for k in (29, 31, 47, 58, 62) for x in ((1 << k) - 1, 1 << k))]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", numbers.buffer_class(F.col("n"))).collect()
+    assert dict(map(tuple, got)) == {n: None if n is None else max(1 << 16, 1 << max(0, n - 1).bit_length()) for n in sizes}
