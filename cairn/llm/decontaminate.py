@@ -4,8 +4,9 @@ The items are a stated query set: blocks of BLOCK items, each block being one pa
 
 1. Terms are the block's words; their document frequencies are counted over all documents (workers sum, then
    Spark). A term's weight is log(n / df), less log(1 / COMMON) where that leaves an item four terms.
-2. A randomised singular value decomposition of the TF-IDF matrix of passages, those of a hash sample of
-   about SAMPLE documents and all items (these ITEM_WEIGHT times): workers make their rows' A'(A Q), Spark sums
+2. A randomised singular value decomposition of the TF-IDF matrix of all passages, those of every document
+   (which together count as DOCUMENTS of them where they are more) and of the items (these ITEM_WEIGHT times): the
+   documents' terms of weight are written once, workers make their rows' A'(A Q), Spark sums
    these by blocks of terms, the driver orthonormalises terms x (RANK + 8) numbers; two power steps.
 3. Index: every passage of every document. Windows of 8, 16, 32, ... words, a quarter apart; a window's
    latent vector is a difference of running sums of its terms' vectors. Items meet windows of the nearest size;
@@ -32,10 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
 
-RANK, SAMPLE, BLOCK, ITEM_WEIGHT, COMMON = 96, 4_000, 4_096, 3.0, 0.02
+RANK, DOCUMENTS, BLOCK, ITEM_WEIGHT, COMMON = 96, 4_000, 4_096, 3.0, 0.02
 LEAST_COSINE, PASSAGE, PARAPHRASE, ANSWER, TELLING = 0.6, 0.7, 0.5, 0.8, 0.5
 PART = 512  # terms in a block that is summed at once
 SEGMENT = 16_384  # words of a document that are looked at together
+LENGTH = 40  # words of a passage of the matrix
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -78,62 +80,83 @@ def weights_of(df: np.ndarray, n: int, items: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _passages(terms: np.ndarray, length: int = 40) -> list[np.ndarray]:
-    """The terms of each `length` words, without other words."""
-    cut = [terms[s : s + length] for s in range(0, len(terms), length)]
-    return [p for p in (c[c >= 0] for c in cut) if len(p)]
+def _passages(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of all LENGTH words, without other words, and how many each of these passages has (none has none)."""
+    at = np.flatnonzero(terms >= 0)
+    first = np.flatnonzero(np.diff(at // LENGTH, prepend=-1))
+    return terms[at], np.diff(first, append=len(at))
 
 
-def _rows(passages: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows(terms: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of each entry, term, value: TF-IDF, each row of length 1."""
     size = len(weights)
-    row = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
-    key, n = np.unique(row * size + np.concatenate(passages), return_counts=True)
+    key, n = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + terms, return_counts=True)
     row, term = key // size, key % size
     w = n * weights[term]
-    norm = np.sqrt(np.bincount(row, w * w, len(passages)))
+    norm = np.sqrt(np.bincount(row, w * w, len(lengths)))
     return row, term, w / np.where(norm > 0, norm, 1)[row]
 
 
-def _gram_times(passages: list[np.ndarray], weights: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A'(A q) of the passages' matrix A."""
+def _gram_times(terms: np.ndarray, lengths: np.ndarray, weights: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A'(A q) of the passages' matrix A. q and the result are transposed: a column's numbers lie together."""
     out = np.zeros_like(q)
-    for i in range(0, len(passages), 256):
-        row, term, w = _rows(passages[i : i + 256], weights)
-        y = np.zeros((min(256, len(passages) - i), q.shape[1]))
-        np.add.at(y, row, w[:, None] * q[term])
-        np.add.at(out, term, w[:, None] * y[row])
+    if len(lengths):
+        row, term, w = _rows(terms, lengths, weights)
+        own, at = np.unique(term, return_inverse=True)
+        for k, column in enumerate(q[:, own]):
+            y = np.bincount(row, w * column[at], len(lengths))
+            out[k, own] = np.bincount(at, w * y[row], len(own))
     return out
 
 
+def passage_terms(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
+    """Of every passage of all documents the terms, written: a row for some hundred documents, with all terms and each passage's number of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        for batch in batches:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                found, lengths = [], []
+                for text in part.column(0).to_pylist():
+                    own, n = _passages(terms_of(words_of(text), terms))
+                    found.append(own)
+                    lengths.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).astype("<u4").tobytes()], pa.binary()) for x in (found, lengths)], ["terms", "lengths"])
+
+    return written(docs.select("text").mapInArrow(run, "terms binary, lengths binary"), "lsi-passages")
+
+
 def latent_basis(docs: DataFrame, terms: dict[bytes, int], items: list[np.ndarray], weights: np.ndarray, n_docs: int, rank: int = RANK, steps: int = 2) -> np.ndarray:
     """terms x rank: the leading right singular vectors of the TF-IDF matrix."""
     size = len(terms)
     width, rank = min(size, rank + 8), min(size, rank)
-    share = min(1.0, SAMPLE / max(1, n_docs))
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2**31)) < int(share * 2**31)).select(text_or_empty().alias("text"))
-    picked = written(picked, "lsi-sample").coalesce(8)
-    own = [p for t in items for p in _passages(t)]
+    share = min(1.0, DOCUMENTS / max(1, n_docs))
+    # terms without weight add nothing; few tasks, as each gives a sum for every term
+    passages = passage_terms(docs, {w: t for w, t in terms.items() if weights[t] > 0}).coalesce(max(8, n_docs // 100_000))
+    own = [np.concatenate(x) for x in zip(*map(_passages, items))]
     q = np.linalg.qr(np.random.default_rng(5).standard_normal((size, width)))[0]
     for step in range(steps + 1):
-        shared = docs.sparkSession.sparkContext.broadcast((terms, weights, q))
+        shared = docs.sparkSession.sparkContext.broadcast((weights, q.T.copy()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            terms, weights, q = shared.value
+            weights, q = shared.value
             total = np.zeros_like(q)
             for batch in batches:
-                total += _gram_times([p for t in batch.column(0).to_pylist() for p in _passages(terms_of(words_of(t), terms))], weights, q)
-            at = range(0, len(q), PART)
+                for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    total += _gram_times(*(np.frombuffer(x, "<u4").astype(np.int64) for x in row), weights, q)
+            total = np.ascontiguousarray(total.T)
+            at = range(0, len(total), PART)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i : i + PART].tobytes() for i in at], pa.binary())], ["part", "sum"])
 
         def add(key: tuple, group: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(b, np.float64) for b in group.column("sum").to_pylist())
             return pa.table({"part": [key[0].as_py()], "sum": [total.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("sum", pa.binary())]))
 
-        parts = picked.mapInArrow(run, "part int, sum binary").groupBy("part").applyInArrow(add, "part int, sum binary").collect()
-        z = _gram_times(own, weights, q) * ITEM_WEIGHT**2 if own else np.zeros_like(q)
+        parts = passages.mapInArrow(run, "part int, sum binary").groupBy("part").applyInArrow(add, "part int, sum binary").collect()
+        z = _gram_times(*own, weights, q.T).T * ITEM_WEIGHT**2
         for r in parts:
-            z[r["part"] : r["part"] + PART] += np.frombuffer(r["sum"], np.float64).reshape(-1, width)
+            z[r["part"] : r["part"] + PART] += share * np.frombuffer(r["sum"], np.float64).reshape(-1, width)
         shared.unpersist()
         if step < steps:
             q = np.linalg.qr(z)[0]

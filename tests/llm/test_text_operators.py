@@ -612,6 +612,37 @@ def test_leaks_and_recall_against_brute_force(spark):
     assert decontaminate.leaks(docs(spark, []), bench).count() == 0 and decontaminate.leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_basis_of_all_documents(spark):
+    """The basis is that of every document's passages, beyond 4,000 of them too: whichever ids they have, it is what the iteration finds in the whole matrix."""
+    rnd = random.Random(8)
+    terms = {f"t{i}".encode(): i for i in range(60)}
+    items = [np.array(rnd.sample(range(60), 12)) for _ in range(5)]
+    texts = [" ".join(rnd.choice(["the", f"t{min(59, int(rnd.expovariate(0.08)))}", f"t{(d // 100) % 60}"]) for _ in range(rnd.randint(0, 90))) for d in range(6000)]
+    weights, matrix = np.linspace(0.5, 2, 60), []
+
+    def gram(cuts):
+        a = np.zeros((len(cuts), 60))
+        for row, cut in zip(a, cuts):
+            np.add.at(row, cut, weights[cut])
+        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+        return a.T @ a
+
+    for t in texts:
+        own = [terms.get(w, -1) for w in decontaminate.words_of(t)]
+        matrix += [np.array([x for x in own[s : s + 40] if x >= 0], np.int64) for s in range(0, len(own), 40)]
+    whole = gram(matrix) * 4000 / 6000 + gram(items) * decontaminate.ITEM_WEIGHT**2
+    q = np.random.default_rng(5).standard_normal((60, 20))
+    for _ in range(3):
+        q = np.linalg.qr(q)[0]
+        z = q
+        q = whole @ q
+    vector = np.linalg.eigh(z.T @ whole @ z)[1]
+    best = z @ vector[:, ::-1][:, :12]
+    for ids in (range(6000), range(50_000, 56_000)):
+        got = decontaminate.latent_basis(docs(spark, texts, ids=ids), terms, items, weights, 6000, rank=12)
+        assert np.abs(got @ got.T - best @ best.T).max() < 1e-6
+
+
 # ---- null and repeated ids, hot copies
 
 
