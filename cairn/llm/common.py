@@ -83,6 +83,15 @@ def slices(batch: pa.RecordBatch, column: int, most_rows: int, most_bytes: int =
         first = after
 
 
+def give_back() -> None:
+    """Memory that a worker's allocators keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *forget: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which a worker empties its module's caches (by functions of that module, which are sent by name) and gives
     back memory: workers live on and serve other stages."""
@@ -95,11 +104,7 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
             for f in forget:
                 f()
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            give_back()
 
     return whole
 

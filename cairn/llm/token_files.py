@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, slices, text_or_empty, tidied
+from .common import fresh_path, give_back, slices, text_or_empty, tidied
 from .units import MOST_UNITS, units
 
 #: fixed values of the public formats: skippable frames' magic numbers and the seek table's own
@@ -281,6 +281,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, n
                     writer.add(doc_id, np.concatenate([ids, end]))
                     if writer.n_ids >= FILE_IDS:
                         close()
+                give_back()  # else what each slice took for a while adds up over a task
         close()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["name", "part", "piece", "n_docs", "n_ids"])
