@@ -43,8 +43,8 @@ WITH_CHECKSUMS = 0x80
 FRAME_IDS = 16_384
 FILE_IDS = 8_000_000
 END_ID = 2
-FIRST, SIGNS = "\0", ".,!?;:#$%&*|"
-BLANK = "\u0120"  # a blank in the texts of byte-level vocabularies
+FIRST, LINE, SIGNS = "\0", "\n", ".,!?;:#$%&*|"
+BLANK, LINE_END = "\u0120", "\u010a"  # a blank and a line's end in the texts of byte-level vocabularies
 _WHITE = r"[\s\v\x1c-\x1f\x85\p{Z}]"
 #: texts that can't be cut at every blank: white space side by side or at an end, or the mark of first units
 UNEVEN = rf"\x00|{_WHITE}{{2}}|^{_WHITE}|{_WHITE}$"
@@ -64,83 +64,114 @@ class UnitEncoder:
         self.by_unit = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.opens = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.bool_)
-        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(BLANK)]] = True
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith((BLANK, LINE_END))]] = True
         self.clear()
 
     def clear(self) -> None:
-        """names: the known units; of each, where its ids start and how many they are."""
+        """names: the known units; of each, where its ids start, how many they are, and in how many slices it was used (two at most)."""
         self.names = pa.array([], pa.large_string())
-        self.ids, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.starts, self.lengths, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
+
+    def keep_recurring(self) -> None:
+        """Units of one slice only are forgotten; the others stay if they are used once more until the next time."""
+        keep = np.flatnonzero(self.used > 1)
+        names = self.names.take(pa.array(keep))
+        lengths, ids = self._gather(keep)
+        self.clear()
+        self._add(names, lengths, ids)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, names: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> None:
+    def _add(self, names: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of the added units."""
+        first = len(self.names)
         self.names = pa.concat_arrays([self.names, names])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, ids])
+        self.used = np.concatenate([self.used, np.ones(len(names), np.uint8)])
+        return np.arange(first, len(self.names))
 
     def _known(self, names: pa.Array) -> np.ndarray:
         """Places of units; -1 for unknown ones."""
-        return pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy().astype(np.int64)
+        at = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy().astype(np.int64)
+        self.used[at[at >= 0]] = 2
+        return at
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of known units, one behind the other."""
         n = self.lengths[at]
         ends = np.cumsum(n)
-        return n, self.ids[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def _learn(self, new: pa.Array) -> None:
-        """A unit is known by its text, with the blank before it; a text's first unit with FIRST before it.
+        total = int(ends[-1]) if len(ends) else 0
+        small = np.int32 if max(total, len(self.ids)) < 2**31 else np.int64
+        where = np.repeat((self.starts[at] - ends + n).astype(small), n)
+        where += np.arange(total, dtype=small)
+        return n, self.ids[where]
+
+    def _one_by_one(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of units."""
+        got = self._plain([u[1:] if u[0] == FIRST else u if u[0] == LINE else " " + u for u in names.to_pylist()])
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return lengths, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
+
+    def _many_words(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words: they are one text, and a word's ids start where an id's text starts with a blank or a line's end."""
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), names, pa.scalar(" ", pa.large_string()))
+        led = pc.if_else(pc.starts_with(names, LINE), names, spaced)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(led)], pa.int32()), led), pa.scalar("", pa.large_string()))[0].as_py()
+        ids = np.array(self._plain([text])[0], np.uint32)
+        starts = np.flatnonzero(self.opens[ids])
+        return (np.diff(starts, append=len(ids)), ids) if len(starts) == len(names) else self._one_by_one(names)
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Places of new units. A unit is known by its text, with the blank before it, if it doesn't begin with a line's end; a
+        text's first unit with FIRST before it.
         Letters with signs behind them are two words to the vocabulary, so their ids are put together."""
         stems = pc.utf8_rtrim(new, characters=SIGNS)
-        paired = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(new)), pc.utf8_is_alpha(stems))
-        pairs, stems = new.filter(paired), stems.filter(paired)
-        tails = pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), pc.replace_substring_regex(pairs, r"^\p{L}+", ""), pa.scalar("", pa.large_string()))
-        plain = pc.unique(pa.concat_arrays([new.filter(pc.invert(paired)), stems, tails]))
-        plain = plain.filter(pa.array(self._known(plain) < 0))
-        alpha = pc.utf8_is_alpha(plain)
-        words, rest = plain.filter(alpha), [plain.filter(pc.invert(alpha))]
-        for i in range(0, len(words), 4096):
-            # many words at a time: a word's ids start where an id's text starts with a blank
-            part = words.slice(i, 4096)
-            ids = np.array(self._plain([" " + " ".join(part.to_pylist())])[0], np.uint32)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(part):
-                self._add(part, np.diff(starts, append=len(ids)), ids)
-            else:
-                rest.append(part)
-        rest = pa.concat_arrays(rest)
-        got = self._plain([u[1:] if u[0] == FIRST else " " + u for u in rest.to_pylist()])
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        self._add(rest, lengths, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())))
-        if len(pairs):
-            n, ids = self._gather(np.stack([self._known(stems), self._known(tails)], axis=1).reshape(-1))
-            self._add(pairs, n.reshape(-1, 2).sum(axis=1), ids)
+        paired = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(new)), pc.utf8_is_alpha(pc.utf8_ltrim(stems, characters=LINE)))
+        pairs, single, stems = new.filter(paired), new.filter(pc.invert(paired)), stems.filter(paired)
+        tails = pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), pc.replace_substring_regex(pairs, r"^\n?\p{L}+", ""), pa.scalar("", pa.large_string()))
+        coded = pa.concat_arrays([single, stems, tails]).dictionary_encode()
+        at = self._known(coded.dictionary)
+        missing = np.flatnonzero(at < 0)
+        plain = coded.dictionary.take(pa.array(missing))
+        alpha = pc.utf8_is_alpha(pc.utf8_ltrim(plain, characters=LINE))
+        words, rest = plain.filter(alpha), plain.filter(pc.invert(alpha))
+        got = [self._many_words(words.slice(i, 4096)) for i in range(0, len(words), 4096)] + [self._one_by_one(rest)]
+        alpha = alpha.to_numpy(zero_copy_only=False)
+        at[np.concatenate([missing[alpha], missing[~alpha]])] = self._add(pa.concat_arrays([words, rest]), *map(np.concatenate, zip(*got)))
+        at = at[coded.indices.to_numpy()]
+        out, paired = np.empty(len(new), np.int64), paired.to_numpy(zero_copy_only=False)
+        out[~paired] = at[: len(single)]
+        n, ids = self._gather(at[len(single) :].reshape(2, -1).T.reshape(-1))
+        out[paired] = self._add(pairs, n.reshape(-1, 2).sum(axis=1), ids)
+        return out
 
     def _places(self, values: pa.Array) -> np.ndarray:
         """Where different units are known; all are in the end."""
         at = self._known(values)
         missing = at < 0
         if missing.any():
+            if len(self.names) + int(missing.sum()) > MOST_UNITS:
+                self.keep_recurring()
+                at = self._known(values)
+                missing = at < 0
             if len(self.names) + int(missing.sum()) > MOST_UNITS:
                 self.clear()
                 missing[:] = True
-            self._learn(values.filter(pa.array(missing)))
-            at = self._known(values)
+            at[missing] = self._learn(values.filter(pa.array(missing)))
         return at
 
     def _join(self, flat: pa.Array, n_units: np.ndarray) -> list[np.ndarray]:
         """Ids of texts given as their units, one behind the other (a unit at least for each)."""
         firsts = np.cumsum(n_units) - n_units
         first = pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), flat.take(pa.array(firsts)), pa.scalar("", pa.large_string()))
-        coded = flat.dictionary_encode()
-        # first units go in with the others, so that a cleared memory learns all at once
-        own = pa.chunked_array([coded.dictionary, first]).combine_chunks().dictionary_encode()
-        places = self._places(own.dictionary)[own.indices.to_numpy()]
+        coded, first = flat.dictionary_encode(), first.dictionary_encode()
+        # first units go in with the others (none is alike), so that a cleared memory learns all at once
+        places = self._places(pa.concat_arrays([coded.dictionary, first.dictionary]))
         at = places[coded.indices.to_numpy()]
-        at[firsts] = places[len(coded.dictionary) :]
+        at[firsts] = places[len(coded.dictionary) + first.indices.to_numpy()]
         n, ids = self._gather(at)
         ends = np.concatenate([[0], np.cumsum(n)])
         return np.split(ids, ends[np.cumsum(n_units)[:-1]])
@@ -156,7 +187,8 @@ class UnitEncoder:
         out: list[np.ndarray] = [None] * len(column)
         even = np.flatnonzero(~pc.or_(whole, uneven).to_numpy(zero_copy_only=False))
         if len(even):
-            parts = pc.split_pattern(column.take(pa.array(even)), " ")
+            # a line's end between two characters that are not white space is a token of its own
+            parts = pc.split_pattern(pc.replace_substring(column.take(pa.array(even)), LINE, " " + LINE), " ")
             for i, ids in zip(even, self._join(parts.flatten(), pc.list_value_length(parts).to_numpy().astype(np.int64))):
                 out[i] = ids
         odd = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
@@ -178,7 +210,7 @@ def encoder(path: str) -> UnitEncoder:
 
 def forget() -> None:
     for e in _encoders.values():
-        e.clear()
+        e.keep_recurring()
 
 
 class FrameWriter:

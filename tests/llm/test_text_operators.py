@@ -92,6 +92,36 @@ def test_files_round_trip(spark, tmp_path):
     assert token_files.encode_and_read(docs(spark, []), path).count() == 0
 
 
+def test_units_are_encoded_once(monkeypatch):
+    """Lines' ends don't make units of two words, and units that recur outlive a task; ids stay the library's own."""
+    from tokenizers import Tokenizer
+
+    path, asked = tokenizer("byte_bpe_50k.json"), []
+    encoder, library = token_files.UnitEncoder(path), Tokenizer.from_file(path)
+    plain = encoder._plain
+    monkeypatch.setattr(encoder, "_plain", lambda texts: asked.extend(texts) or plain(texts))
+    monkeypatch.setattr(token_files, "_encoders", {path: encoder})
+    ends, starts = [f"ab{chr(97 + i)}." for i in range(20)], [f"Z{chr(97 + i)}y" for i in range(20)]
+    texts = ["so " + " ".join(f"{a}\n{b}" for a in ends for b in starts), "é.\nÉ'll\n1 \u0301\nx!\n|a", "a\n\nb c\n d", "\na b", "a b\n", "a\r\nb\tc"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def got() -> list[list[int]]:
+        return [x.tolist() for x in encoder.encode(texts)]
+
+    assert got() == want and sum(map(len, asked)) < 500  # 400 pairs of words have 3,600 characters
+    assert got() == want
+    asked.clear()
+    token_files.forget()
+    assert got() == want and not "".join(asked)
+    token_files.forget()
+    kept = len(encoder.names)
+    assert [x.tolist() for x in encoder.encode(["so other"])] == [library.encode("so other", add_special_tokens=False).ids]
+    token_files.forget()
+    assert kept > 40 and len(encoder.names) == 2  # only what was used again: "so", as a text's first unit and as another
+    monkeypatch.setattr(token_files, "MOST_UNITS", 50)
+    assert got() == want and got() == want
+
+
 def test_only_wanted_frames_are_decompressed():
     w = token_files.FrameWriter()
     for i in range(40):
